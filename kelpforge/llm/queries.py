@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, quality
 
-QUERIES = {"op6_packing": packing.op6_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op6_packing": packing.op6_packing,
+    "op8_quality_rules": quality.op8_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": quality.OP8_SQL,
+}
