@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import packing, quality, secrets
 
 QUERIES = {
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_packing": packing.op6_packing,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scan": secrets.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
