@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets
+from . import packing, quality, secrets, simhash
 
 QUERIES = {
+    "op3_simhash_vptree": simhash.op3_simhash_vptree,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_packing": packing.op6_packing,
     "op8_quality_rules": quality.op8_quality_rules,
