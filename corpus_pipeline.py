@@ -1,16 +1,48 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
+
+Every stage takes the documents its predecessor kept and works on all of them; all but the last return the columns of
+``documents``. A caller may write each stage's result and read it again; ``run`` chains them in one plan.
+"""
 
 from __future__ import annotations
 
-from kelpforge.llm import packing
+from kelpforge.llm import chunking, packing, quality, secrets, simhash
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that pass the rules, without the boilerplate lines of their source."""
+    return quality.stage(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of linked fingerprints."""
+    return simhash.stage(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Documents without passages that an earlier document has."""
+    return chunking.stage(docs)
+
+
+def secret_scan(spark, docs, sf_dir):
+    """Documents with their secrets replaced."""
+    return secrets.stage(docs)
 
 
 def pack(spark, docs, sf_dir):
-    """Stage 5: every document that is left, packed."""
+    """The pieces of all documents that are left, packed into sequences."""
     return packing.digest(packing.pack(docs))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("secret_scan", secret_scan),
+    ("packing", pack),
+]
+
+#: Fingerprints, gear hashes and token ids are beyond SQL.
 ORACLE_SQL = None
 
 

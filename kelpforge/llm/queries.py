@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash
+from . import chunking, packing, quality, secrets, simhash
 
 QUERIES = {
     "op3_simhash_vptree": simhash.op3_simhash_vptree,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_packing": packing.op6_packing,
+    "op7_substring_dedup": chunking.op7_substring_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
