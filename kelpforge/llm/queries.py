@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunking, packing, quality, secrets, simhash
+from . import chunking, classifier, packing, quality, secrets, simhash
 
 QUERIES = {
     "op3_simhash_vptree": simhash.op3_simhash_vptree,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_substring_dedup": chunking.op7_substring_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_quality_classifier": classifier.op9_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_secret_scan": secrets.OP5_SQL,
