@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chunking, classifier, packing, quality, secrets, simhash
+from . import chat, chunking, classifier, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op3_simhash_vptree": simhash.op3_simhash_vptree,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_packing": packing.op6_packing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_quality_classifier": classifier.op9_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat.OP1_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }

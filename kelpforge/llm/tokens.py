@@ -52,6 +52,15 @@ def plain_encoder(path: str) -> Callable[[str], list[int]]:
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def id_bytes(path: str) -> list[bytes]:
+    """The bytes of each id, special tokens being their strings."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    special, letters = {x["id"]: x["content"] for x in spec["added_tokens"]}, _byte_letters()
+    words = {k: word for word, k in spec["model"]["vocab"].items()} | special
+    return [special[k].encode() if k in special else bytes(letters[c] for c in words[k]) for k in range(max(words) + 1)]
+
+
 class WordEncoder:
     """Ids of whole texts as packed unsigned 32-bit integers of the machine's (little-endian) order.
 
