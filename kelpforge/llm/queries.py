@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, chunking, classifier, packing, quality, secrets, simhash
+from . import chat, chunking, classifier, packing, quality, secrets, simhash, wrapper
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_simhash_vptree": simhash.op3_simhash_vptree,
+    "op4_html_extraction": wrapper.op4_html_extraction,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_packing": packing.op6_packing,
     "op7_substring_dedup": chunking.op7_substring_dedup,
