@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunking, classifier, packing, quality, secrets, simhash, wrapper
+from . import chat, chunking, classifier, packing, pieces, quality, secrets, simhash, wrapper
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_substring_dedup": chunking.op7_substring_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
+    "op10_nbest_pieces": pieces.op10_nbest_pieces,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
