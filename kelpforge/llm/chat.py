@@ -125,7 +125,7 @@ def format_chats(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     path = tokenizer_path or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.WordEncoder(path)
+        encoder = tokens.shared_encoder(path)
         now, n, parts = None, 0, []
 
         def done():

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def _shape(word: str) -> str:
 class Features:
     """Places and values of a text's vector; what is known of words is kept in a table of bounded size."""
 
-    def __init__(self, bits: int = BITS, limit: int = 300_000):
+    def __init__(self, bits: int = BITS, limit: int = 1_000_000):
         self._bits, self._limit = bits, limit
         self._known: dict[str, tuple[int, int]] = {}
 
@@ -73,6 +74,12 @@ class Features:
         return at, counts / np.sqrt(np.dot(counts, counts))
 
 
+@lru_cache(maxsize=2)
+def shared_features(bits: int) -> Features:
+    """One table of words for each worker process, kept between its tasks."""
+    return Features(bits)
+
+
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader for the logistic loss; the last place is the constant."""
 
@@ -115,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(bits)
+        features = shared_features(bits)
         for batch in slices(batches):
             got = [features(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +154,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, w = Features(bits), shared.value
+        features, w = shared_features(bits), shared.value
         for batch in slices(batches):
             got = [features(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_logistic(w[at] @ x + w[-1]) for at, x in got], pa.float64())], names=["doc_id", "score"])

@@ -130,7 +130,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = tokens.shared_encoder(path), np.array([end_id], "<u4").tobytes()
         partition = TaskContext.get().partitionId()
 
         def documents():

@@ -15,6 +15,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .common import slices, table
 BLANK = "▁"
 NBEST = 3
 #: The parts kept between texts.
-KNOWN = 400_000
+KNOWN = 1_000_000
 _PARTS = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Shortfall of a part that has one segmentation only.
 NEVER = 1 << 62
@@ -228,6 +229,8 @@ class Encoder:
                 continue
             part = parts[place]
             if part not in self._lists:
+                if len(self._lists) > self._most // 10:
+                    self._lists.clear()
                 self._lists[part] = self.lattice.nbest(part, self.n)
             found = self._lists[part]
             merged = [(loss + found[0][0] - s, (rank, *ranks), [*choice, (place, ids)] if rank else choice) for loss, ranks, choice in best for rank, (s, ids) in enumerate(found)]
@@ -235,6 +238,12 @@ class Encoder:
         return [(loss, choice) for loss, _, choice in best]
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, n: int) -> Encoder:
+    """One encoder for each worker process, so that later tasks there find the parts that earlier ones met."""
+    return Encoder(path, n)
+
+
 def encode_nbest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, n: int = NBEST) -> DataFrame:
     """``doc_id, rank, score, ids, decoded``: the ``n`` best segmentations of each whole text, fewer if there are fewer.
 
@@ -245,7 +254,7 @@ def encode_nbest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     path = model_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, n)
+        encoder = shared_encoder(path, n)
         for batch in slices(batches, 128):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

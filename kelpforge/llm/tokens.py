@@ -12,6 +12,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 
 #: A blank before a visible character always begins a new pre-token of the byte-level pattern, so what lies
 #: between two such blanks is encoded alone. ``\s`` of Python covers the libraries' white space and four more.
@@ -88,3 +89,9 @@ class WordEncoder:
             self._held += len(part)
         find = known.__getitem__
         return [first + b"".join(map(find, parts)) for first, parts in zip(firsts, cut, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that later tasks there find the words that earlier ones met."""
+    return WordEncoder(path)
