@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, chunking, classifier, packing, pieces, quality, secrets, simhash, wrapper
+from . import chat, chroma, chunking, classifier, packing, pieces, quality, secrets, simhash, wrapper
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_chroma_alignment": chroma.op2_chroma_alignment,
     "op3_simhash_vptree": simhash.op3_simhash_vptree,
     "op4_html_extraction": wrapper.op4_html_extraction,
     "op5_secret_scan": secrets.op5_secret_scan,
