@@ -67,6 +67,8 @@ class Lattice:
         self.unknown = lowest - 10
         self._lengths = {k: len(p) for p, (k, _) in self.pieces.items()}
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: Id and score of each beginning of a piece, None if it is none itself.
+        self.prefixes = {p: self.pieces.get(p) for p in self.starts}
 
     def edges(self, part: str) -> list[list[tuple[int, int, int]]]:
         """For each end in ``part`` the edges ``(id, start, score)`` that lead there; id -1 is a character's bytes."""
@@ -98,26 +100,34 @@ class Lattice:
 
         The second best is the best through some edge that the best does not use.
         """
-        n, pieces, starts, unknown = len(part), self.pieces, self.starts, self.unknown
+        n, known, unknown = len(part), self.prefixes.get, self.unknown
         best, by, origin = [-NEVER] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         best[0] = 0
-        edges: list[tuple[int, int, int, int]] = []
+        edges: list[tuple[int, int, int]] = []
+        add = edges.append
         for i in range(n):
             here, j = best[i], i + 1
-            sub = part[i:j]
-            found = pieces.get(sub) or (-1, unknown)
+            found = known(part[i], 0)
+            if not found:  # no piece of one character
+                add((i, j, unknown))
+                if here + unknown > best[j]:
+                    best[j], by[j], origin[j] = here + unknown, -1, i
+                if found == 0:
+                    continue
             while True:
                 if found:
                     k, s = found
-                    edges.append((i, j, k, s))
+                    add((i, j, s))
+                    s += here
                     # of equals the smallest id, so that ids read from the end come in order
-                    if here + s > best[j] or here + s == best[j] and k < by[j]:
-                        best[j], by[j], origin[j] = here + s, k, i
-                if j == n or sub not in starts:
+                    if s > best[j] or s == best[j] and k < by[j]:
+                        best[j], by[j], origin[j] = s, k, i
+                if j == n:
                     break
                 j += 1
-                sub = part[i:j]
-                found = pieces.get(sub)
+                found = known(part[i:j], 0)
+                if found == 0:
+                    break
         ids: list[int] = []
         j = n
         while j:
@@ -127,7 +137,7 @@ class Lattice:
             j = i
         rest = [-NEVER] * n + [0]
         second = -NEVER
-        for i, j, _, s in reversed(edges):
+        for i, j, s in reversed(edges):
             s += rest[j]
             if s > rest[i]:
                 rest[i] = s
@@ -192,11 +202,15 @@ class Encoder:
         """
         if not text:
             return [(0, b"")]
-        parts = _PARTS.findall(BLANK + text.replace(" ", BLANK))
+        # Parts are named without their first blank mark; between single blanks they are just the words.
+        if "  " in text or text[0] == " " or BLANK in text:
+            parts = [x[1:] for x in _PARTS.findall(BLANK + text.replace(" ", BLANK))]
+        else:
+            parts = text.split(" ")
         if len(self._at) > self._most:
             self._clear()
         for part in set(parts).difference(self._at):
-            score, gap, ids = self.lattice.first(part)
+            score, gap, ids = self.lattice.first(BLANK + part)
             self._at[part] = len(self._ids)
             self._ids.append(ids)
             self._scores.append(score)
@@ -204,7 +218,7 @@ class Encoder:
         at = np.fromiter(map(self._at.__getitem__, parts), np.int64, len(parts))
         total = int(np.frombuffer(self._scores, np.int64)[at].sum())
         gaps = np.frombuffer(self._gaps, np.int64)[at]
-        ids = [self._ids[k] for k in at.tolist()]
+        ids = list(map(self._ids.__getitem__, at.tolist()))
         out = []
         for loss, choice in self._combined(parts, gaps):
             now = ids
@@ -231,7 +245,7 @@ class Encoder:
             if part not in self._lists:
                 if len(self._lists) > self._most // 10:
                     self._lists.clear()
-                self._lists[part] = self.lattice.nbest(part, self.n)
+                self._lists[part] = self.lattice.nbest(BLANK + part, self.n)
             found = self._lists[part]
             merged = [(loss + found[0][0] - s, (rank, *ranks), [*choice, (place, ids)] if rank else choice) for loss, ranks, choice in best for rank, (s, ids) in enumerate(found)]
             best = sorted(merged, key=lambda x: x[:2])[: self.n]
