@@ -1,12 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
 
 Every stage takes the documents its predecessor kept and works on all of them; all but the last return the columns of
-``documents``. A caller may write each stage's result and read it again; ``run`` chains them in one plan.
+``documents``. ``run`` writes each stage's result to the shared folder and reads it again, as a caller may.
 """
 
 from __future__ import annotations
 
 from kelpforge.llm import chunking, packing, quality, secrets, simhash
+from kelpforge.llm.common import materialize
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -48,6 +49,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -164,7 +164,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
         rows = [cut_text(t, None if p is None else [(int(x["place"]), int(x["digest"])) for x in p], min_words) for t, p in zip(texts, places, strict=True)]
         return pd.DataFrame({"kept_text": [r[0] for r in rows], "removed_spans": [[{"start": a, "end": b} for a, b in r[1]] for r in rows], "n_chunks": [r[2] for r in rows]})
 
-    done = joined.withColumn("_cut", apply("_text", "_places"))
+    # not deterministic, so that a filter on the result does not run it twice
+    done = joined.withColumn("_cut", apply.asNondeterministic()("_text", "_places"))
     n = F.coalesce(F.size("_places"), F.lit(0))
     return done.select(
         *[F.col(f"_row.`{x}`").alias(x) for x in rest],

@@ -25,6 +25,12 @@ MIN_LEFT_PERCENT = 30
 BROADCAST_LINES = 500_000
 
 
+def here(value: Column) -> Column:
+    """The value, computed in this projection: a filter above is not pushed below it, which would write the whole
+    expression out again inside the functions that read it for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda x: x != "")
 
@@ -62,7 +68,7 @@ def with_statistics(docs: DataFrame, text: str = "_text") -> DataFrame:
     starts = F.sort_array(F.transform(twin, lambda x: x.i))
     step = lambda acc, x: F.struct(x.alias("last"), (acc.n + F.least(F.lit(WINDOW), x - acc.last)).alias("n"))
     covered = F.aggregate(starts, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), step, lambda acc: acc.n)
-    counted = ordered.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    counted = ordered.withColumn("n_repeat_words", here(F.coalesce(covered, F.lit(0)).cast("long")))
     return counted.drop("_words", "_lines", "_hash", "_windows", "_sorted")
 
 
@@ -107,7 +113,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", host_col: str = "source")
     cleaned = joined.withColumn("clean_text", F.when(hit, left).otherwise(t))
     n_left = F.when(F.col("clean_text") == t, F.col("n_words")).otherwise(F.size(words_of(F.col("clean_text"))))
     depleted = (n_left < MIN_WORDS) | (100 * n_left < MIN_LEFT_PERCENT * F.col("n_words"))
-    judged = cleaned.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    judged = cleaned.withColumn("base_failed", base_failed()).withColumn("kept", here(~F.col("base_failed") & ~depleted))
     return judged.select(*[F.col(f"_row.`{x}`").alias(x) for x in rest], *added)
 
 
