@@ -27,7 +27,7 @@ from .common import slices, table
 BLANK = "▁"
 NBEST = 3
 #: The parts kept between texts.
-KNOWN = 1_000_000
+KNOWN = 2_000_000
 _PARTS = re.compile(rf"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Shortfall of a part that has one segmentation only.
 NEVER = 1 << 62
