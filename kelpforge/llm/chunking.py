@@ -22,7 +22,7 @@ CUT_BITS = 5
 #: A chunk that would be longer, as within runs of one character, ends here.
 LONGEST = 4096
 #: Copies go in runs of at least so many words.
-MIN_WORDS = 12
+MIN_WORDS = 20
 
 
 def _gears() -> np.ndarray:
