@@ -324,3 +324,37 @@ def rate_limit(t):
 def sheet_blocks(t):
     rows = t("customer").select(F.col("c_nationkey").cast("string").alias("sheet"), F.col("c_custkey").alias("row_index"), F.array(F.lit("name"), F.lit("segment")).alias("headers"), F.array("c_name", "c_mktsegment").alias("cells"))
     return D.sheet_blocks(rows)
+
+
+_TYPES = ["catalog", "risk_matrix", "price_catalog", "notes"]
+
+
+def _uuid_sql(text):
+    from ..functions.values import NAMESPACE
+
+    d = f"sha1(unhex('{NAMESPACE.replace('-', '')}') || encode({text}))"
+    return f"{d}[1:8] || '-' || {d}[9:12] || '-5' || {d}[14:16] || '-' || (['8', '9', 'a', 'b'])[(instr('0123456789abcdef', {d}[17]) - 1) % 4 + 1] || {d}[18:20] || '-' || {d}[21:32]"
+
+
+@query(f"""
+WITH r AS (SELECT 'f' || c_nationkey || '.csv' AS filename, c_custkey AS row_number, ({_TYPES})[c_nationkey % 4 + 1] AS document_type, c_name || ' | ' || c_mktsegment AS quote FROM customer),
+k AS (SELECT *, CASE WHEN document_type = 'risk_matrix' THEN 'rule' ELSE 'fact' END AS record FROM r WHERE document_type <> 'notes')
+SELECT {_uuid_sql("record || ':' || filename || ':row:' || row_number")} AS id, {_uuid_sql("'evidence:' || filename || ':row:' || row_number")} AS evidence_id, record, document_type = 'price_catalog' AS is_synthetic,
+  CASE WHEN record = 'rule' THEN row_number END AS priority, quote FROM k""")
+def pack_records(t):
+    from ..operators import packs as P
+
+    rows = t("customer").select(
+        F.concat(F.lit("f"), F.col("c_nationkey").cast("string"), F.lit(".csv")).alias("filename"), F.col("c_custkey").alias("row_number"), _pick(_TYPES, F.col("c_nationkey") % 4).alias("document_type"), F.array("c_name", F.lit(""), "c_mktsegment").alias("cells")
+    )
+    return P.records_of_rows(rows).select("id", "evidence_id", "record", "is_synthetic", "priority", "quote")
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS k FROM part WHERE p_size > 10), p AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity < 5)
+SELECT 'p' || k AS filename, 'missing' AS problem FROM l WHERE k NOT IN (SELECT k FROM p) UNION ALL SELECT 'p' || k, 'unlisted' FROM p WHERE k NOT IN (SELECT k FROM l)""")
+def pack_preflight(t):
+    from ..operators import packs as P
+
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("filename")
+    return P.preflight(t("part").where("p_size > 10").select(name("p_partkey")), t("lineitem").where("l_quantity < 5").select(name("l_partkey")).distinct())
