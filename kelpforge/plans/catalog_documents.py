@@ -265,3 +265,24 @@ SELECT n_nationkey, sha256(concat_ws(chr(31), 'faq_item', '{"name":"' || n_name
 def grounding_keys(t):
     claim = F.to_json(F.struct(F.col("n_regionkey").alias("region"), F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")).alias("name")))
     return t("nation").select("n_nationkey", V.grounding_key(F.lit("faq_item"), claim, F.concat(F.lit("  quote  of "), F.col("n_name")), F.lit("v1"), F.lit("stub")).alias("grounding_key"))
+
+
+@query(f"""
+WITH {PROFILES}, v AS (SELECT doc_id, page_number FROM profiles WHERE contains(risk_codes, 'visual_content_without_caption'))
+SELECT doc_id || ':visual_table_figure_risk:' || page_number AS packet_id, doc_id, 'visual_table_figure_risk' AS reason_code, 'medium' AS severity, 'inspect_visual_evidence' AS suggested_decision,
+  'visual_content_without_caption' AS risk_code, NULL::VARCHAR AS section_path, page_number, 1::BIGINT AS evidence_count FROM v""")
+def visual_packets(t):
+    from ..operators import review
+
+    return review.visual_packets(_profiles(t))
+
+
+@query("""
+WITH g AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'missing_revision' WHEN 1 THEN 'ambiguous_nested_document_codes' ELSE 'other' END AS gap FROM documents),
+p AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'missing_metadata' ELSE 'ambiguous_metadata' END AS reason, CASE doc_id % 3 WHEN 0 THEN 'high' ELSE 'critical' END AS level FROM g WHERE gap <> 'other')
+SELECT reason_code, severity, count(*) AS packets FROM (SELECT reason AS reason_code, level AS severity FROM p) GROUP BY GROUPING SETS ((reason_code), (severity), ())""")
+def packet_summary(t):
+    from ..operators import review
+
+    gap = F.when(F.col("doc_id") % 3 == 0, "missing_revision").when(F.col("doc_id") % 3 == 1, "ambiguous_nested_document_codes").otherwise("other")
+    return review.summary(review.metadata_packets(t("documents").select("doc_id", gap.alias("gap_code"))))
