@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from . import dom
 from .common import materialize, slices, table
 
-#: Nodes are template if their text is in all pages of a host, of which at least so many have different texts.
-MIN_PAGES = 12
+#: Nodes are template if their text is in all pages of a host, of which at least so many have different main texts.
+MIN_PAGES = 3
 #: A node is template only if at least this percentage of the host's pages have it, so that copies of one page are not.
 COMMON_PERCENT = 80
 #: The nodes that a template keeps; beyond them the rarest go, which then count as slots.
@@ -172,7 +172,7 @@ class Wrapper:
         from xxhash import xxh64_intdigest
 
         tree = dom.parse(html)
-        text = "\n".join(x for _, x in dom.walk(tree))
+        text = "\n".join(x for slot in slots(tree) for _, x in dom.walk(slot, _dropped))
         return cls([xxh64_intdigest(text)], fold(tree))
 
     def dump(self) -> bytes:

@@ -41,6 +41,17 @@ def test_layouts(spark, pages):
     assert got == want
 
 
+@pytest.mark.parametrize("pages", [3, 11])
+def test_notices_of_small_hosts_are_template(spark, pages):
+    rng = np.random.default_rng(pages)
+    made = [site(rng, "article") for _ in range(pages)]
+    made.append((made[0][0].replace("<nav>", "<nav>Other menu"), made[0][1]))
+    frame = spark.createDataFrame([(k, "http://small.example/", html) for k, (html, _) in enumerate(made)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrapper.extract(frame.repartition(2)).collect()} == {k: text for k, (_, text) in enumerate(made)}
+    copies = spark.createDataFrame([(k, "http://c.example/", made[0][0].replace("<nav>", f"<nav>{k}")) for k in range(pages)], "page_id long, url string, html string")
+    assert all(made[0][1] in r.text for r in wrapper.extract(copies).collect())
+
+
 def test_copies_on_a_host_are_not_template(spark):
     rng = np.random.default_rng(9)
     body = [sentence(rng) for _ in range(3)]
