@@ -24,8 +24,6 @@ MIN_PAGES = 3
 COMMON_PERCENT = 80
 #: The nodes that a template keeps; beyond them the rarest go, which then count as slots.
 MAX_NODES = 1500
-#: Constant texts kept for a folded node.
-MAX_CONSTANTS = 64
 SALTS = 32
 #: Templates are broadcast up to this size, and joined by a shuffle beyond.
 BROADCAST_BYTES = 64 << 20
@@ -51,11 +49,17 @@ def host_of(url):
 LABEL, PAGES, CONSTANTS, CHILDREN = range(4)
 
 
+def _hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text)
+
+
 def fold(node: dom.Node) -> list:
-    """The template of one page: neighbours with equal labels become one node that holds all their texts."""
+    """The template of one page: neighbours with equal labels become one node that holds the hashes of all their texts."""
 
     def build(nodes: list[dom.Node], label: str) -> list:
-        texts: set[str] = set()
+        texts: set[int] = set()
         below: list[tuple[str, list[dom.Node]]] = []
         for one in nodes:
             own: list[str] = []
@@ -73,12 +77,12 @@ def fold(node: dom.Node) -> list:
                 else:
                     own.append(" ".join(text for _, text in dom.walk(child)))
             if text := dom.clean(own):
-                texts.add(text)
+                texts.add(_hash(text))
         # the same sequence of labels over again, as with headings and paragraphs, is folded too
         merged: dict[str, list[dom.Node]] = {}
         for name, group in below:
             merged.setdefault(name, []).extend(group)
-        return [label, 1, sorted(texts)[:MAX_CONSTANTS], [build(group, name) for name, group in merged.items()]]
+        return [label, 1, sorted(texts), [build(group, name) for name, group in merged.items()]]
 
     return build([node], node.label)
 
@@ -169,11 +173,9 @@ class Wrapper:
 
     @classmethod
     def of_page(cls, html: str) -> Wrapper:
-        from xxhash import xxh64_intdigest
-
         tree = dom.parse(html)
         text = "\n".join(x for slot in slots(tree) for _, x in dom.walk(slot, _dropped))
-        return cls([xxh64_intdigest(text)], fold(tree))
+        return cls([_hash(text)], fold(tree))
 
     def dump(self) -> bytes:
         return json.dumps([sorted(self.seen), self.root]).encode()
@@ -182,9 +184,9 @@ class Wrapper:
     def load(cls, data: bytes | None) -> Wrapper:
         return cls(*json.loads(data)) if data else cls()
 
-    def constants(self, page: list) -> dict[str, set[str]]:
-        """Texts of a page that are template, by the label path of their node."""
-        found: dict[str, set[str]] = {}
+    def constants(self, page: list) -> dict[str, set[int]]:
+        """Hashes of a page's texts that are template, by the label path of their node."""
+        found: dict[str, set[int]] = {}
         if self.root is None or len(self.seen) < MIN_PAGES:
             return found
         stack = [(self.root, page, page[LABEL])]
@@ -271,7 +273,7 @@ def extract_text(html: str | None, wrapper: Wrapper) -> str:
     blocks = []
     for slot in slots(tree):
         for owner, text in dom.walk(slot, _dropped):
-            if not constant or text not in constant.get(path_of[id(owner)], ()):
+            if not constant or _hash(text) not in constant.get(path_of[id(owner)], ()):
                 blocks.append(text)
     return "\n\n".join(blocks)
 

@@ -52,6 +52,15 @@ def test_notices_of_small_hosts_are_template(spark, pages):
     assert all(made[0][1] in r.text for r in wrapper.extract(copies).collect())
 
 
+def test_notice_beside_many_paragraphs_is_template():
+    known, pages = wrapper.Wrapper(), []
+    for k in range(4):
+        pages.append("<article>" + "".join(f"<p>a{k} paragraph {n}</p>" for n in range(90)) + "<p>zz all rights reserved</p></article>")
+        known.add(wrapper.Wrapper.load(wrapper.Wrapper.of_page(pages[-1]).dump()))
+    for k, html in enumerate(pages):
+        assert wrapper.extract_text(html, known) == "\n\n".join(f"a{k} paragraph {n}" for n in range(90))
+
+
 def test_copies_on_a_host_are_not_template(spark):
     rng = np.random.default_rng(9)
     body = [sentence(rng) for _ in range(3)]
