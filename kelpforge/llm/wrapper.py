@@ -142,20 +142,16 @@ def merge(a: list, b: list) -> list:
 
 
 def _prune(root: list, most: int = MAX_NODES) -> list:
-    counts: list[int] = []
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        counts.append(node[PAGES])
-        stack += node[CHILDREN]
-    if len(counts) <= most:
+    """The template with its ``most`` most frequent nodes; of equal counts those nearer the root, then the earlier ones, stay."""
+    nodes = [root]
+    for node in nodes:
+        nodes += node[CHILDREN]
+    if len(nodes) <= most:
         return root
-    least = sorted(counts, reverse=True)[most]
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        node[CHILDREN] = [x for x in node[CHILDREN] if x[PAGES] > least]
-        stack += node[CHILDREN]
+    # no child is on more pages than its parent, so parents come before their children
+    kept = {id(x) for x in sorted(nodes, key=lambda x: -x[PAGES])[:most]}
+    for node in nodes:
+        node[CHILDREN] = [x for x in node[CHILDREN] if id(x) in kept]
     return root
 
 

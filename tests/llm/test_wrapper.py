@@ -61,6 +61,12 @@ def test_notice_beside_many_paragraphs_is_template():
         assert wrapper.extract_text(html, known) == "\n\n".join(f"a{k} paragraph {n}" for n in range(90))
 
 
+def test_pruning_breaks_ties():
+    root = ["html", 2, [], [[f"div.a{k}", 2, [], [["p", 1, [], []]]] for k in range(3000)]]
+    left = wrapper._prune(root)
+    assert [x[0] for x in left[3]] == [f"div.a{k}" for k in range(wrapper.MAX_NODES - 1)] and not any(x[3] for x in left[3])
+
+
 def test_copies_on_a_host_are_not_template(spark):
     rng = np.random.default_rng(9)
     body = [sentence(rng) for _ in range(3)]
