@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes of each text; a chunk ends where its top bits are zero, so ends depend on the last 32
-bytes alone and an insertion moves only the ends near it. Chunks are compared by digest over the whole corpus; of equal
-chunks the first, by document and place, stays. A later copy goes if it lies in a run of copies that holds at least
-``MIN_WORDS`` words, so that phrases which merely happen to recur are left alone.
+A gear hash rolls over the last ``WINDOW`` bytes of each text. A text is cut where the hash is the largest within ``REACH``
+bytes on either side, so cuts depend on the bytes around them alone and an insertion moves only the cuts near it. The
+unit that is compared over the whole corpus is two chunks in a row, by digest; units of one chunk each forward overlap,
+so that a passage gives a run of copied units. A run is then extended byte by byte against the document that it was
+first found in, which gives the passage's exact ends, and only then is its length judged: of passages of ``MIN_WORDS``
+words or more that several documents share, the one in the document with the smallest id stays.
 """
 
 from __future__ import annotations
@@ -15,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import broadcast_if_small, materialize, slices, table
 
-#: A chunk ends at a byte with probability 2 ** -CUT_BITS.
-CUT_BITS = 5
-#: A chunk that would be longer, as within runs of one character, ends here.
-LONGEST = 4096
-#: Copies go in runs of at least so many words.
-MIN_WORDS = 20
+#: Bytes that the hash holds, and on how many bytes of either side a cut's hash is the largest.
+WINDOW, REACH = 16, 24
+#: Passages go if they have so many words or more.
+MIN_WORDS = 50
 
 
 def _gears() -> np.ndarray:
@@ -37,143 +37,294 @@ GEARS = _gears()
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """At each byte the 32-bit gear hash ``h = (h << 1) + GEARS[byte]``, which holds the last 32 bytes only.
+    """At each byte the rolling gear hash ``h = (h << 1) + GEARS[byte]`` of the last WINDOW bytes.
 
-    The sum over 32 bytes is doubled five times instead of rolled: 1, 2, 4, ... 32 bytes.
+    The sum over WINDOW bytes is doubled instead of rolled: 1, 2, 4, ... bytes.
     """
-    h = GEARS[data]
-    for k in (1, 2, 4, 8, 16):
+    h, k = GEARS[data], 1
+    while k < WINDOW:
         more = h.copy()
         more[k:] += h[:-k] << np.uint32(k)
-        h = more
+        h, k = more, 2 * k
     return h
 
 
-def chunk_ends(data: bytes, bits: int = CUT_BITS, longest: int = LONGEST) -> list[int]:
-    """Ends of the chunks of a UTF-8 text, in bytes, never within a character."""
+def chunk_ends(data: bytes, reach: int = REACH) -> list[int]:
+    """Ends of the chunks of a UTF-8 text, in bytes, never within a character; the text's end is the last.
+
+    Where several bytes within reach share the largest hash, as in repeated characters or words, the first is taken and
+    the next one beyond reach, so that such stretches are cut into equal chunks and need no limit of length.
+    """
     if not data:
         return []
-    raw = np.frombuffer(data, np.uint8)
-    cut = np.flatnonzero(gear_hashes(raw) >> np.uint32(32 - bits) == 0) + 1
-    ends, last, n = [], 0, len(raw)
-    for end in [*cut.tolist(), n]:
+    h = gear_hashes(np.frombuffer(data, np.uint8))
+    n, full = len(h), 2 * reach + 1
+    most = np.zeros(n + 2 * reach, np.uint32)
+    most[reach : reach + n] = h
+    width = 1
+    while 2 * width <= full:
+        most, width = np.maximum(most[:-width], most[width:]), 2 * width
+    if width < full:
+        most = np.maximum(most[: width - full], most[full - width :])
+    ends, last = [], 0
+    for end in (np.flatnonzero(h == most) + 1).tolist():
+        if end - last <= reach:
+            continue
         while end < n and data[end] & 0xC0 == 0x80:
             end += 1
-        while end - last > longest:
-            last += longest
-            while last < n and data[last] & 0xC0 == 0x80:
-                last += 1
-            ends.append(last)
-        if end > last:
-            ends.append(end)
-            last = end
+        if end >= n:
+            break
+        ends.append(end)
+        last = end
+    ends.append(n)
     return ends
 
 
-def digest(data: bytes, start: int, end: int) -> int:
+def units(data: bytes) -> tuple[list[int], list[int]]:
+    """Cuts of a text, its start and end among them, and the digests of its units: unit k goes from cut k to cut k + 2."""
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(data[start:end], end - start)
+    cuts = [0, *chunk_ends(data)]
+    if len(cuts) < 3:
+        return cuts, [xxh3_64_intdigest(data)] if data else []
+    return cuts, [xxh3_64_intdigest(data[a:b]) for a, b in zip(cuts, cuts[2:], strict=False)]
+
 
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
 
-def _digest_rows(ids: list, texts: list) -> tuple[list, list, list]:
-    docs, places, digests = [], [], []
-    for doc, text in zip(ids, texts, strict=True):
-        data, start = (text or "").encode("utf-8", "replace"), 0
-        ends = chunk_ends(data)
-        for end in ends:
-            digests.append(digest(data, start, end))
-            start = end
-        docs += [doc] * len(ends)
-        places += range(len(ends))
-    return docs, places, digests
 
+def _signed(digests: list[int]) -> np.ndarray:
+    return np.array(digests, np.uint64).view(np.int64)
 
-def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, place, digest``: the chunks of each text in order; the digest is 64 bits, seeded by the length."""
+
+def unit_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, place, digest``: the units of each text of ``_id, _text``; of equal ones in a text the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            ids, places, digests = _digest_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            ids, counts, places, digests = [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = units(_bytes(text))[1]
+                first = dict(zip(reversed(found), range(len(found) - 1, -1, -1), strict=True))
+                ids.append(doc)
+                counts.append(len(first))
+                places += first.values()
+                digests += first
             if digests:
-                values = np.array(digests, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(values)], names=["doc_id", "place", "digest"])
+                docs = np.repeat(np.array(ids, np.int64), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(places, pa.int32()), pa.array(_signed(digests))], names=["doc_id", "place", "digest"])
+
+    return docs.mapInArrow(run, "doc_id long, place int, digest long")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, place int, digest long")
+_RUN = "doc_id long, later boolean, first int, last int, left_doc long, left_digest long, right_doc long, right_digest long"
 
 
-def copied_places(docs: DataFrame, **cols) -> DataFrame:
-    """``doc_id, places``: for each document the sorted places and digests of chunks that occur earlier, if any.
+def _chained(doc: int, later: bool, shared: list[dict]) -> list[list]:
+    """Units, in order of place, as runs of places in a row."""
+    out: list[list] = []
+    for x in shared:
+        place, digest, partner = x["place"], x["digest"], x["partner"]
+        if out and place == out[-1][3] + 1:
+            out[-1][3], out[-1][6], out[-1][7] = place, partner, digest
+        elif not out or place > out[-1][3]:
+            out.append([doc, later, place, place, partner, digest, partner, digest])
+    return out
 
-    Digests are counted with map-side sums first; only those found twice meet their occurrences again, in a join that
-    adaptive execution splits where one digest is very frequent.
+
+def shared_runs(docs: DataFrame) -> DataFrame:
+    """Runs of units in a row that other documents have too: ``doc_id, later, first, last`` and the ends' partners.
+
+    A unit's partner is the smallest id that has it, for that document itself the largest. ``later``: a run of units that
+    documents with smaller ids have; other runs take all shared units, and are left out where all are such. Digests are counted with map-side sums first; only those of several documents meet their occurrences again, in a join that
+    adaptive execution splits where one digest is very frequent. What is gathered is one document's shared units.
     """
-    found = chunks(docs, **cols)
-    seen = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    later = found.join(seen, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("place", "digest"))).alias("places"))
-
-
-def cut_text(text: str | None, places: list[tuple[int, int]] | None, min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without its copied runs, the runs as spans of code points, and the number of chunks."""
-    data = (text or "").encode("utf-8", "replace")
-    ends = chunk_ends(data)
-    if not places:
-        return text or "", [], len(ends)
-    spans: list[list[int]] = []
-    for place, wanted in places:
-        if place >= len(ends):
-            continue  # of another row with this id
-        start, end = ends[place - 1] if place else 0, ends[place]
-        if digest(data, start, end) != wanted & 0xFFFFFFFFFFFFFFFF:
+    found = unit_rows(docs)
+    seen = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    met = found.join(seen, "digest").select("doc_id", "place", "digest", F.when(F.col("doc_id") > F.col("least"), F.col("least")).otherwise(F.col("most")).alias("partner"))
+    held = met.groupBy("doc_id").agg(F.collect_list(F.struct("place", "digest", "partner")).alias("units"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            rows = []
+            for doc, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shared.sort(key=lambda x: x["place"])
+                later = [x for x in shared if x["partner"] < doc]
+                rows += _chained(doc, True, later)
+                if len(later) < len(shared):
+                    rows += _chained(doc, False, shared)
+            if rows:
+                kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+                names = [x.split()[0] for x in _RUN.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return held.mapInArrow(run, _RUN)
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, digest, left_bytes, right_bytes``: what stands before and behind a unit of a document.
+
+    The bytes of one chunk and of what decides on its cut are enough: if they were all the same on both sides, the cut and
+    with it the next unit would be the same, and the run would go on.
+    """
+    asked = materialize(wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("digest").alias("asked")), "asked")
+    both = docs.join(broadcast_if_small(asked), "_id").select("_id", "_text", "asked")
+    more = WINDOW + REACH + 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            rows = []
+            for doc, text, asked in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                data = _bytes(text)
+                cuts, digests = units(data)
+                place = {d: k for k, d in reversed(list(enumerate(_signed(digests).tolist())))}
+                for digest in asked:
+                    k = place.get(digest)
+                    if k is None:
+                        continue  # of another row with this id
+                    start, end, behind = cuts[k], cuts[min(k + 2, len(cuts) - 1)], cuts[min(k + 3, len(cuts) - 1)]
+                    rows.append((doc, digest, data[max(0, cuts[max(k - 1, 0)] - more) : start], data[end : behind + more]))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "digest", "left_bytes", "right_bytes"])
+
+    found = both.mapInArrow(run, "doc_id long, digest long, left_bytes binary, right_bytes binary")
+    return found.groupBy("doc_id", "digest").agg(F.max("left_bytes").alias("left_bytes"), F.max("right_bytes").alias("right_bytes"))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """``_id, _runs``: for each document with shared units its runs and what stands around them in their partners."""
+    runs = materialize(shared_runs(docs), "shared-runs")
+    ends = [runs.select(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_digest").alias("digest")) for x in ("left", "right")]
+    around = materialize(contexts(docs, ends[0].union(ends[1]).distinct()), "contexts")
+    known = runs
+    for x in ("left", "right"):
+        side = around.select(F.col("doc_id").alias(f"{x}_doc"), F.col("digest").alias(f"{x}_digest"), F.col(f"{x}_bytes"))
+        known = known.join(side, [f"{x}_doc", f"{x}_digest"], "left")
+    return known.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last", "later", "left_digest", "right_digest", "left_bytes", "right_bytes")).alias("_runs"))
+
+
+def _common_suffix(a: bytes, b: bytes) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
+        n += 1
+    return n
+
+
+def _common_prefix(a: bytes, b: bytes) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def _own_copies(data: bytes, cuts: list[int], digests: list[int]) -> Iterator[tuple[int, int]]:
+    """Spans of bytes that the text has at an earlier place already."""
+    seen: dict[int, int] = {}
+    last = len(cuts) - 1
+    now = None
+    for k, digest in enumerate([*digests, None]):
+        source = seen.setdefault(digest, k) if digest is not None else k
+        if now and source < k and source - k == now[2]:
+            now[1] = k
             continue
-        if spans and spans[-1][1] == start:
-            spans[-1][1] = end
-        elif not spans or end > spans[-1][1]:
-            spans.append([start, end])
-    spans = [x for x in spans if len(data[x[0] : x[1]].split()) >= min_words]
-    kept, out, last, chars = [], [], 0, 0
-    for start, end in spans:
-        before, gone = data[last:start].decode(), data[start:end].decode()
+        if now:
+            a, b, shift = now
+            start, end = cuts[a], cuts[min(b + 2, last)]
+            left = _common_suffix(data[max(0, cuts[a + shift] - (start - cuts[a - 1]) - 64) : cuts[a + shift]], data[:start])
+            right = _common_prefix(data[cuts[min(b + shift + 2, last)] : cuts[min(b + shift + 3, last)] + 64], data[end : end + 4096])
+            yield start - left, end + right
+        now = [k, k, source - k] if source < k else None
+
+
+def _words(data: bytes) -> int:
+    return len(data.split())
+
+
+def _passages(data: bytes, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Spans cut back to whole words, of which each has enough; those that touch or overlap as one. The white space
+    before a span stays, so that the words on either side remain apart."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        while 0 < start < end and not data[start - 1 : start].isspace() and not data[start : start + 1].isspace():
+            start += 1
+        while 0 < start < end and data[start : start + 1].isspace():
+            start += 1
+        while start < end < len(data) and not data[end - 1 : end].isspace() and not data[end : end + 1].isspace():
+            end -= 1
+        if _words(data[start:end]) < min_words:
+            continue
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def cut_text(text: str | None, runs: list[dict] | None, min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]], int, int, int]:
+    """The text without copied passages, these as spans of code points, the number of chunks and of those in such
+    passages, and the words in passages that another document has, whether they go or stay."""
+    data = _bytes(text)
+    cuts, digests = units(data)
+    n_chunks, last = len(cuts) - 1, len(cuts) - 1
+    signed = _signed(digests).tolist() if runs else []
+    gone, shared = list(_own_copies(data, cuts, digests)) if len(set(digests)) < len(digests) else [], []
+    for run in runs or ():
+        a, b = run["first"], run["last"]
+        if b >= len(signed) or signed[a] != run["left_digest"] or signed[b] != run["right_digest"]:
+            continue  # of another row with this id
+        start, end = cuts[a], cuts[min(b + 2, last)]
+        start -= _common_suffix(run["left_bytes"] or b"", data[:start])
+        end += _common_prefix(run["right_bytes"] or b"", data[end : end + len(run["right_bytes"] or b"")])
+        shared.append((start, end))
+        if run["later"]:
+            gone.append((start, end))
+    shared, gone = _passages(data, shared, min_words), _passages(data, gone, min_words)
+    shared_words = sum(_words(data[a:b]) for a, b in shared)
+    kept, out, at, chars, n_copied = [], [], 0, 0, 0
+    for start, end in gone:
+        before, away = data[at:start].decode(), data[start:end].decode()
         kept.append(before)
-        out.append((chars + len(before), chars + len(before) + len(gone)))
-        chars, last = out[-1][1], end
-    kept.append(data[last:].decode())
-    return "".join(kept), out, len(ends)
+        out.append((chars + len(before), chars + len(before) + len(away)))
+        n_copied += sum(1 for x, y in zip(cuts, cuts[1:], strict=False) if start <= x and y <= end)
+        chars, at = out[-1][1], end
+    kept.append(data[at:].decode())
+    return ("".join(kept) if out else text or ""), out, n_chunks, n_copied, shared_words
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` with kept_text, removed_spans (array of start, end in code points), n_chunks, n_copied.
+_CUT = "kept_text string, removed_spans array<struct<start: int, end: int>>, n_chunks long, n_copied long, shared_words long"
 
-    ``id_col`` tells documents apart and orders them; rows that share an id are one document: what they have in
-    common at the same place counts once and stays in each. Rows without an id are neither searched nor cut. A null or
-    empty text has no chunks. Of equal chunks the one with the smallest id, then place, stays. Columns of the input whose names are among the added ones are replaced; an
-    empty table gives no rows.
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of ``docs`` with kept_text, removed_spans, n_chunks, n_copied and shared_words.
+
+    ``removed_spans`` is an array of start and end in code points; ``n_copied`` counts the chunks inside them;
+    ``shared_words`` the words in passages that another document has, removed or not, so that it marks the first
+    occurrences too. Of a passage of ``min_words`` words or more the occurrence in the document with the smallest id
+    stays, and of several in one document the first. Rows that share an id are one document and lose nothing to each
+    other. Rows without an id are compared with themselves only. A null or empty text has no chunks. Columns of the input
+    whose names are among the added ones are replaced; an empty table gives no rows. A passage whose bytes hold fewer
+    than three cuts is not seen: 0.07 % of those of 51 words, and none that is longer than a few hundred bytes.
     """
-    added = ["kept_text", "removed_spans", "n_chunks", "n_copied"]
+    added = ["kept_text", "removed_spans", "n_chunks", "n_copied", "shared_words"]
     rest = [x for x in docs.columns if x not in added]
     row = F.struct(*[docs[x] for x in docs.columns])
     own = docs.select(row.alias("_row"), docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
-    copied = copied_places(own.where("_id IS NOT NULL"), id_col="_id", text_col="_text").withColumnsRenamed({"doc_id": "_id", "places": "_places"})
-    joined = own.join(copied, "_id", "left")
+    runs = materialize(passages(own.select("_id", "_text").where("_id IS NOT NULL")), "passages")
+    joined = own.join(broadcast_if_small(runs), "_id", "left")
 
-    @F.pandas_udf("kept_text string, removed_spans array<struct<start: int, end: int>>, n_chunks long")
-    def apply(texts, places):
+    @F.pandas_udf(_CUT)
+    def apply(texts, runs):
         import pandas as pd
 
-        rows = [cut_text(t, None if p is None else [(int(x["place"]), int(x["digest"])) for x in p], min_words) for t, p in zip(texts, places, strict=True)]
-        return pd.DataFrame({"kept_text": [r[0] for r in rows], "removed_spans": [[{"start": a, "end": b} for a, b in r[1]] for r in rows], "n_chunks": [r[2] for r in rows]})
+        rows = [cut_text(t, None if r is None else list(r), min_words) for t, r in zip(texts, runs, strict=True)]
+        spans = [[{"start": a, "end": b} for a, b in r[1]] for r in rows]
+        return pd.DataFrame({"kept_text": [r[0] for r in rows], "removed_spans": spans, "n_chunks": [r[2] for r in rows], "n_copied": [r[3] for r in rows], "shared_words": [r[4] for r in rows]})
 
     # not deterministic, so that a filter on the result does not run it twice
-    done = joined.withColumn("_cut", apply.asNondeterministic()("_text", "_places"))
-    n = F.coalesce(F.size("_places"), F.lit(0))
-    return done.select(
-        *[F.col(f"_row.`{x}`").alias(x) for x in rest],
-        F.col("_cut.kept_text").alias("kept_text"),
-        F.col("_cut.removed_spans").alias("removed_spans"),
-        F.col("_cut.n_chunks").alias("n_chunks"),
-        F.greatest(n, F.lit(0)).cast("long").alias("n_copied"),
-    )
+    done = joined.withColumn("_cut", apply.asNondeterministic()("_text", "_runs"))
+    return done.select(*[F.col(f"_row.`{x}`").alias(x) for x in rest], *[F.col(f"_cut.{x}").alias(x) for x in added])
 
 
 def _written(spans: Column) -> Column:
@@ -186,6 +337,7 @@ def op7_substring_dedup(spark, sf_dir):
         "doc_id",
         "n_chunks",
         "n_copied",
+        "shared_words",
         _written(F.col("removed_spans")).alias("removed_spans"),
         F.length("kept_text").cast("long").alias("kept_chars"),
         F.sha2("kept_text", 256).alias("kept_sha256"),
@@ -193,7 +345,10 @@ def op7_substring_dedup(spark, sf_dir):
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents without copied runs; those of which nothing but white space is left go."""
+    """The documents without copied passages; those of which nothing but white space is left go.
+
+    A null text stays null. Rows that share an id are one document, as in ``dedup``.
+    """
     done = dedup(docs)
     changed = F.size("removed_spans") > 0
     cut = done.withColumns({"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))})

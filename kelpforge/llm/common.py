@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words, as a regular expression that Java and RE2 read alike.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -24,6 +25,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return shared
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir().get()
 
@@ -36,8 +39,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into small ones, so that few rows at a time become Python objects."""
+#: Tables are broadcast up to so many rows and bytes of their Parquet files' rows, and joined by a shuffle beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if its rows, which are counted and measured here, stay within the bounds."""
+    sizes = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if sizes["n"] <= BROADCAST_ROWS and sizes["size"] <= BROADCAST_BYTES else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into small ones, so that few rows and bytes at a time become Python objects.
+
+    A batch of several rows has about ``most`` bytes at most; a longer row comes alone.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        step = max(1, min(rows, batch.num_rows * most // max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, step):
+            part, todo = batch.slice(start, step), []
+            todo.append(part)
+            while todo:
+                part = todo.pop()
+                if part.num_rows > 1 and part.nbytes > 2 * most:
+                    half = part.num_rows // 2
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
