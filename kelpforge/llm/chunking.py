@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, slices, table
+from .common import join_few, materialize, slices, table
 
 #: Bytes that the hash holds, and on how many bytes of either side a cut's hash is the largest.
 WINDOW, REACH = 16, 24
@@ -137,8 +137,9 @@ def shared_runs(docs: DataFrame) -> DataFrame:
     """Runs of units in a row that other documents have too: ``doc_id, later, first, last`` and the ends' partners.
 
     A unit's partner is the smallest id that has it, for that document itself the largest. ``later``: a run of units that
-    documents with smaller ids have; other runs take all shared units, and are left out where all are such. Digests are counted with map-side sums first; only those of several documents meet their occurrences again, in a join that
-    adaptive execution splits where one digest is very frequent. What is gathered is one document's shared units.
+    documents with smaller ids have; other runs take all shared units, and are left out where all are such.
+    Digests are counted with map-side sums first; only those of several documents meet their occurrences again, in a join
+    that adaptive execution splits where one digest is very frequent. What is gathered is one document's shared units.
     """
     found = unit_rows(docs)
     seen = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
@@ -169,7 +170,7 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     with it the next unit would be the same, and the run would go on.
     """
     asked = materialize(wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("digest").alias("asked")), "asked")
-    both = docs.join(broadcast_if_small(asked), "_id").select("_id", "_text", "asked")
+    both = join_few(docs, asked, "_id", "inner").select("_id", "_text", "asked")
     more = WINDOW + REACH + 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +313,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     row = F.struct(*[docs[x] for x in docs.columns])
     own = docs.select(row.alias("_row"), docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
     runs = materialize(passages(own.select("_id", "_text").where("_id IS NOT NULL")), "passages")
-    joined = own.join(broadcast_if_small(runs), "_id", "left")
+    joined = join_few(own, runs, "_id")
 
     @F.pandas_udf(_CUT)
     def apply(texts, runs):

@@ -39,14 +39,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables are broadcast up to so many rows and bytes of their Parquet files' rows, and joined by a shuffle beyond.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: The most bits of a filter of keys (8 MB).
+FILTER_BITS = 26
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if its rows, which are counted and measured here, stay within the bounds."""
-    sizes = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
-    return F.broadcast(df) if sizes["n"] <= BROADCAST_ROWS and sizes["size"] <= BROADCAST_BYTES else df
+def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``few``, a stored table with the long ``key``, without shuffling rows that have no partner.
+
+    The keys of ``few`` are marked in a bitmap of FILTER_BITS bits at most, whose pieces of 4 KB are broadcast. Only rows
+    whose bit is set go through the join's shuffle; the others, for a left join, keep nulls. Null keys have no partner.
+    """
+    bits = min(FILTER_BITS, max(15, (16 * few.count()).bit_length()))
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
+    marks = few.where(F.col(key).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_marks"))
+    spot = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.expr("substring(_marks, CAST(_spot DIV 8 + 1 AS INT), 1)")), 16, 10).cast("int")
+    placed = rows.withColumns({"_piece": F.bitmap_bucket_number(at), "_spot": spot}).join(F.broadcast(marks), "_piece", "left")
+    marked = placed.withColumn("_met", F.coalesce(F.getbit(byte, (F.col("_spot") % 8).cast("int")) == 1, F.lit(False)))
+    met = marked.where("_met").select(*rows.columns).join(few, key, how)
+    if how == "inner":
+        return met
+    apart = marked.where("NOT _met").select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema if f.name != key])
+    return met.select(*apart.columns).unionByName(apart)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
