@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import join_few, materialize, slices, table
 from .components import connected_components
 
 SEED = 42
@@ -42,9 +42,12 @@ def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(x, SEED) for x in runs), np.uint64, len(found) - words + 1)
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, words: int = 3) -> int:
     """64 bits, each set where over half the hashes set it; 0 for a text without words."""
-    hashes = shingle_hashes(text or "")
+    return fingerprint_of(shingle_hashes(text or "", words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -220,7 +223,115 @@ def op3_simhash_vptree(spark, sf_dir):
     return components(table(spark, sf_dir, "documents"))
 
 
+# Near-duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that
+# similarity fingerprints differ in about 10 of 64 bits, a radius at which no ball of a vantage-point tree prunes anything.
+# So the trees find the close pairs, and bands of least hashes the candidates beyond them; both are judged exactly.
+NEAR_WORDS, SIMILARITY = 5, 0.8
+#: Bands of so many least hashes each: of pairs at 0.8 two in a thousand share no band, at 0.85 one in ten thousand.
+BANDS, ROWS = 16, 5
+
+
+def _factors(n: int) -> np.ndarray:
+    """Odd random numbers, from the splitmix64 rule."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+FACTORS = _factors(BANDS * ROWS)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A 64-bit key for each band; none for a text without words."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 1024):
+        mixed = hashes[start : start + 1024, None] * FACTORS
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    data, width = least.astype("<u8").tobytes(), 8 * ROWS
+    keys = [xxh64_intdigest(data[k * width : (k + 1) * width], k) for k in range(BANDS)]
+    return [x - (1 << 64) if x >> 63 else x for x in keys]
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes = [shingle_hashes(x or "", NEAR_WORDS) for x in batch.column(1).to_pylist()]
+            fps = np.array([fingerprint_of(x) for x in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([bands(x) for x in hashes], pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, bands array<long>")
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(x or "", NEAR_WORDS).view(np.int64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _candidates(marked: DataFrame) -> DataFrame:
+    """``a, b, votes``: each document with the smallest id of each band's key and of its fingerprint, and linked fingerprints.
+
+    A key of n documents gives n - 1 pairs; keys are counted with map-side sums before they meet their documents.
+    """
+    keys = marked.select("doc_id", F.explode("bands").alias("key"))
+    centres = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most").select("key", "a")
+    alike = keys.join(centres, "key").where("a < doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("votes"))
+    prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-fingerprints")
+    equal = marked.join(prints, "fp").where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.lit(BANDS + 1).cast("long").alias("votes"))
+    linked = fingerprint_links(prints.select("fp"))
+    for end in ("a", "b"):
+        linked = linked.join(prints.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_doc")), end)
+    linked = linked.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), F.lit(BANDS).cast("long").alias("votes"))
+    return alike.union(equal).union(linked).groupBy("a", "b").agg(F.max("votes").alias("votes")).where("a < b")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets are similar enough; two texts without words are alike."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
+    shared, total = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
+    return both.where(shared >= SIMILARITY * (total - shared)).select("a", "b").distinct()
+
+
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of each document that has a near-duplicate; component_id is the smallest id reachable.
+
+    First each document is judged against the one candidate that shares most bands with it; then all candidates that are
+    still in different components are judged. Ids are cast to long, what is no number becomes null, and null ids stay out;
+    rows that share an id are one document, alike if any of their texts is; null and empty texts are copies of each other;
+    an empty table gives no rows.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    marked = materialize(_signatures(own), "signatures")
+    pairs = materialize(_candidates(marked), "candidates")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    sets = materialize(_shingle_sets(join_few(own, ids, "doc_id", "inner").select("doc_id", "text")), "shingle-sets")
+    best = pairs.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("less"))).alias("most")).select((-F.col("most.less")).alias("a"), "b")
+    first = materialize(_similar(best, sets), "near-links")
+    nodes = materialize(connected_components(first), "near-components")
+    named = pairs
+    for end in ("a", "b"):
+        named = named.join(nodes.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    apart = named.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    second = materialize(_similar(apart, sets), "near-links")
+    if not second.isEmpty():
+        nodes = connected_components(first.union(second))
+    return nodes.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id. Documents without an id stay."""
-    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Documents without an id stay; rows that share an id stay or go together.
+    """
+    gone = materialize(near_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_gone")), "near-duplicates")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    return join_few(keyed, gone, "_id").where("_gone IS NULL").select(*docs.columns)

@@ -13,7 +13,10 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from sys import getsizeof
 
+#: Bytes of a dictionary's entry beside its key and value.
+ENTRY = 100
 #: A blank before a visible character always begins a new pre-token of the byte-level pattern, so what lies
 #: between two such blanks is encoded alone. ``\s`` of Python covers the libraries' white space and four more.
 _WORD = re.compile(r" (?=\S)")
@@ -66,10 +69,10 @@ class WordEncoder:
     """Ids of whole texts as packed unsigned 32-bit integers of the machine's (little-endian) order.
 
     A text is cut before each blank that a visible character follows; the ids of each part are computed once and kept
-    in a table, which is emptied when it holds ``limit`` bytes of parts.
+    in a table, which is emptied when parts and ids hold about ``limit`` bytes, the objects' own ones included.
     """
 
-    def __init__(self, path: str, limit: int = 8_000_000):
+    def __init__(self, path: str, limit: int = 96 << 20):
         self._encode = plain_encoder(path)
         self._known: dict[str, bytes] = {}
         self._held, self._limit = 0, limit
@@ -85,8 +88,8 @@ class WordEncoder:
             self._held = 0
         known = self._known
         for part in set().union(*cut).difference(known):
-            known[part] = self._pack(f" {part}")
-            self._held += len(part)
+            known[part] = ids = self._pack(f" {part}")
+            self._held += ENTRY + getsizeof(part) + getsizeof(ids)
         find = known.__getitem__
         return [first + b"".join(map(find, parts)) for first, parts in zip(firsts, cut, strict=True)]
 

@@ -83,3 +83,31 @@ def test_empty_table_and_missing_ids(spark):
     assert simhash.components(spark.createDataFrame([], schema)).count() == 0
     rows = simhash.components(spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "z z z")], schema)).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("4", "4"), ("None", "4"), ("None", "None")]
+
+
+def test_near_components_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    base = [list(rng.choice(vocabulary, rng.integers(60, 260))) for _ in range(25)]
+    texts = ["", None, " \n", "one", "one", "One two"]
+    for words in base:
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8):
+            edited = words.copy()
+            for at in rng.choice(len(words), edits, replace=False):
+                edited[at] = "edited"
+            texts.append(" ".join(edited))
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, texts[6], "x"), rows[6]], "doc_id long, text string, component_id string").repartition(3)
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = _classes(texts, pairs)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want and sum(i != w for i, w in enumerate(want)) > 40
+    kept = simhash.stage(docs.select("doc_id", "text")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["None", "6", *[str(i) for i, w in enumerate(want) if i == w]])
