@@ -22,9 +22,7 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 WINDOW = 20
-#: Candidate strings; their characters in a fixed order.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bits a character that a window needs: of hexadecimal digits alone, and of all characters.
 HEX_BITS, ANY_BITS = 3.0, 3.75
 #: Candidates that are not secrets: UUIDs, runs of one character, placeholders, paths of plain words.
@@ -57,30 +55,40 @@ def find(text: Column, pattern: str) -> Column:
 def entropy_hits(candidate: Column) -> Column:
     """``struct<first, last>``: starts of the first and last window of high entropy (null: none) in a candidate.
 
-    Counts of the window's characters and their sum of c log2 c change by the character that enters and the one that
-    leaves; a window needs a digit and a character that is none.
+    The sum of c log2 c over a window's characters changes by the character that leaves and the one that enters. How often
+    either stands among the characters that stay, and so the change, is found in the 19 characters next to it; the fold
+    over the changes keeps four numbers. A window needs a digit and a character that is none.
     """
     text = candidate["s"]
     limit = F.when(text.rlike("^[0-9a-fA-F]+$"), most_bits(HEX_BITS)).otherwise(most_bits(ANY_BITS))
-    bits = F.array(*[F.lit(x) for x in COUNT_BITS])
-
-    def slide(acc, i):
-        entering, leaving = F.substr(text, i + 1, F.lit(1)), F.when(i >= WINDOW, F.substr(text, i - WINDOW + 1, F.lit(1))).otherwise("")
-        into, away = F.position(entering, F.lit(ALPHABET)), F.when(i >= WINDOW, F.position(leaving, F.lit(ALPHABET))).otherwise(0)
-        digit = lambda x: F.when(x.between("0", "9"), 1).otherwise(0)
-        old, new = F.get(acc["counts"], away), F.get(acc["counts"], into) - F.when(away == into, 1).otherwise(0)
-        total = acc["total"] + F.when(away > 0, F.get(bits, old - 1) - F.get(bits, old)).otherwise(0) + F.get(bits, new + 1) - F.get(bits, new)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == into, 1).otherwise(0) - F.when((k == away) & (k > 0), 1).otherwise(0))
-        digits = acc["digits"] + digit(entering) - digit(leaving)
-        hit = (i >= WINDOW - 1) & (total <= limit) & (digits > 0) & (digits < WINDOW)
-        start = i - WINDOW + 1
-        first, last = F.when(hit, F.coalesce(acc["first"], start)).otherwise(acc["first"]), F.when(hit, start).otherwise(acc["last"])
-        return F.struct(counts.alias("counts"), total.alias("total"), digits.alias("digits"), first.alias("first"), last.alias("last"))
+    near = WINDOW - 1
+
+    def more(count):  # what one more of a character adds to the sum, looked up by how many there are
+        return F.element_at(F.array(*[F.lit(COUNT_BITS[c + 1] - COUNT_BITS[c]) for c in range(WINDOW)]), count + 1)
+
+    def change(chars, i):
+        entering, leaving = F.get(chars, i), F.get(chars, i - WINDOW)
+        before = F.slice(chars, F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near)))
+        behind = F.slice(chars, F.greatest(i - near + 1, F.lit(1)), F.lit(near))
+        digit = lambda x: F.coalesce(x.between("0", "9").cast("int"), F.lit(0))
+        into = more(F.size(F.filter(before, lambda c: c == entering)))
+        away = F.when(i < WINDOW, 0).otherwise(more(F.size(F.filter(behind, lambda c: c == leaving))))
+        return F.struct(i.alias("i"), (into - away).alias("bits"), (digit(entering) - digit(leaving)).alias("digits"))
+
+    def slide(acc, x):
+        total, digits, start = acc["total"] + x["bits"], acc["digits"] + x["digits"], x["i"] - near
+        return F.struct(total.alias("total"), digits.alias("digits"), F.when(hit(acc, x), F.coalesce(acc["first"], start)).otherwise(acc["first"]).alias("first"), F.when(hit(acc, x), start).otherwise(acc["last"]).alias("last"), acc["limit"].alias("limit"))
+
+    def hit(acc, x):
+        digits = acc["digits"] + x["digits"]
+        return (x["i"] >= near) & (acc["total"] + x["bits"] <= acc["limit"]) & (digits > 0) & (digits < WINDOW)
 
     none = F.lit(None).cast("int")
-    begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).alias("total"), F.lit(0).alias("digits"), none.alias("first"), none.alias("last"))
-    positions = F.sequence(F.lit(0), F.length(text) - 1)
-    return F.aggregate(positions, begin, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    begin = F.struct(F.lit(0).alias("total"), F.lit(0).alias("digits"), none.alias("first"), none.alias("last"), limit.alias("limit"))
+    # lambda variables are worked out once: the characters for all changes, the changes for the fold
+    split = F.array(F.filter(F.split(text, ""), lambda c: c != ""))
+    changes = F.get(F.transform(split, lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: change(chars, i))), F.lit(0))
+    return F.aggregate(changes, begin, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def _of_kind(spans: Column, kind: int) -> Column:

@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from kelpforge.llm import secrets
 
 
@@ -61,3 +63,16 @@ def test_spans_match_brute_force(spark):
 
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_long_candidate(spark):
+    import base64
+    import random
+    import time
+
+    noise = base64.b64encode(random.Random(1).randbytes(75_000)).decode()
+    spark.createDataFrame([(0, RANDOM)], "doc_id long, text string").select(secrets.entropy_hits(F.struct(F.col("text").alias("s")))).collect()
+    start = time.perf_counter()
+    (row,) = spark.createDataFrame([(0, noise)], "doc_id long, text string").select(secrets.entropy_hits(F.struct(F.col("text").alias("s"))).alias("hit")).collect()
+    print(time.perf_counter() - start)
+    assert tuple(row.hit) == brute_hit(noise) and time.perf_counter() - start < 20
