@@ -49,6 +49,25 @@ def test_part_search_order(lattice):
         assert (score, tuple(np.frombuffer(ids, "<u4").tolist())) == want[0] and gap == (score - want[1][0] if len(want) > 1 else pieces.NEVER)
 
 
+def test_long_parts_as_short_ones(lattice, monkeypatch):
+    rng = np.random.default_rng(2)
+    parts = ["▁hello", "▁漢x", "tionaller", "▁▁▁a", "aaaaaaaaaa", "▁" + "ab" * 9, *["▁" + "".join(rng.choice(list("etaoin漢"), 14)) for _ in range(40)]]
+    want = {(p, n): lattice.nbest(p, n) for p in parts for n in (1, 2, 3, 9)} | {p: lattice.first(p) for p in parts}
+    monkeypatch.setattr(pieces, "LONG", 0)
+    assert {(p, n): lattice.nbest(p, n) for p in parts for n in (1, 2, 3, 9)} | {p: lattice.first(p) for p in parts} == want
+
+
+def test_unbroken_text_of_a_million_characters():
+    import resource
+
+    encoder = pieces.Encoder(pieces.default_path(), 3)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text in ("".join(np.random.default_rng(3).choice(list("abcdefghijklmnop0123456789+/漢"), 1_000_000)), "a" * 100_000):
+        found = encoder.encode(text)
+        assert len(found) == 3 and all(encoder.lattice.decode(np.frombuffer(ids, "<u4")) == text for _, ids in found)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
 def test_decoding_is_the_library_s(lattice):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
     encoder = pieces.Encoder(pieces.default_path(), 3)
