@@ -166,12 +166,13 @@ def revision(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.upper(trimmed(text)), r"^(?:REV(?:ISAO|ISÃO)?\.?|R)\s*[-:.]?\s*", ""))
 
 
+def named(names: dict[str, str]) -> Column:
+    """A literal map, to look a value up in once instead of asking for each of its keys."""
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+
 def document_status(text: Column) -> Column:
-    out = F.lower(trimmed(text))
-    upper = F.upper(trimmed(text))
-    for alias, status in STATUS_ALIASES.items():
-        out = F.when(upper == alias, status).otherwise(out)
-    return out
+    return F.coalesce(F.element_at(named(STATUS_ALIASES), F.upper(trimmed(text))), F.lower(trimmed(text)))
 
 
 def canonical_quote(text: Column) -> Column:

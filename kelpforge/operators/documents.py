@@ -159,12 +159,16 @@ def merge_short(drafts: DataFrame, least: int = MIN_CHUNK_CHARS) -> DataFrame:
 
 
 def sheet_blocks(rows: DataFrame, size: int = SHEET_ROWS) -> DataFrame:
-    """Table rows ``sheet, row_index, headers, cells`` in blocks of ``size``, each as one text of piped lines."""
+    """Table rows ``filename, sheet, row_index, headers, cells`` in blocks of ``size``, each as one text of piped lines.
+
+    Blocks are counted from the first row of each sheet of each file, whatever its number.
+    """
     line = lambda a: F.concat(F.lit("| "), F.array_join(a, " | "), F.lit(" |"))
-    blocked = rows.groupBy("sheet", F.floor(F.col("row_index") / size).alias("block"), line(F.col("headers")).alias("head")).agg(
-        F.min("row_index").alias("row_start"), F.max("row_index").alias("row_end"), F.transform(F.array_sort(F.collect_list(F.struct("row_index", line(F.col("cells")).alias("l")))), lambda x: x["l"]).alias("lines")
-    )
-    return blocked.select("sheet", "row_start", "row_end", F.array_join(F.concat(F.array(F.concat(F.lit("Tabela: "), F.col("sheet")), F.col("head")), F.col("lines")), "\n").alias("text"))
+    place = F.row_number().over(Window.partitionBy("filename", "sheet").orderBy("row_index")) - 1
+    placed = rows.select("filename", "sheet", "row_index", line(F.col("headers")).alias("head"), line(F.col("cells")).alias("l"), F.floor(place / size).alias("block"))
+    blocked = placed.groupBy("filename", "sheet", "block", "head").agg(F.min("row_index").alias("row_start"), F.max("row_index").alias("row_end"), F.array_sort(F.collect_list(F.struct("row_index", "l"))).alias("lines"))
+    lines = F.transform("lines", lambda x: x["l"])
+    return blocked.select("filename", "sheet", "row_start", "row_end", F.array_join(F.concat(F.array(F.concat(F.lit("Tabela: "), F.col("sheet")), F.col("head")), lines), "\n").alias("text"))
 
 
 def is_table_line(line: Column) -> Column:

@@ -72,10 +72,8 @@ def decisions(labels: DataFrame) -> DataFrame:
     Unsupported labels go to the unknown queue; a known type below LEAST is dropped; one below PASSES waits in the
     queue. A null classification stands for a response without labels.
     """
-    kind = F.lower(F.trim("classification"))
-    for alias, name in ALIASES.items():
-        kind = F.when(kind == alias, name).otherwise(kind)
-    named = labels.withColumn("kind", kind)
+    named = labels.withColumn("kind", F.lower(F.trim("classification")))
+    named = named.withColumn("kind", F.coalesce(F.element_at(X.named(ALIASES), F.col("kind")), F.col("kind")))
     known = F.col("kind").isin(*FACT_TYPES, *RULE_TYPES)
     passes = known & (F.col("confidence") >= PASSES)
     kept = named.where(F.col("kind").isNull() | ~known | (F.col("confidence") >= LEAST))

@@ -77,7 +77,15 @@ def section_chunks(t):
     return D.chunk_documents(t("documents"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {PAGES}, l0 AS (SELECT doc_id, page_number, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM pages),
+d AS (SELECT doc_id, page_number * 1000 + k AS position, page_number::VARCHAR AS section_path, {TRIM.format('raw')} AS text FROM l0 WHERE {TRIM.format('raw')} <> ''),
+o AS (SELECT *, row_number() OVER w AS n, lead(section_path) OVER w AS following FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+r AS (SELECT doc_id, position, section_path, text, n, following, length(text) < {D.MIN_CHUNK_CHARS} AND section_path IS NOT DISTINCT FROM following AS goes_on FROM o WHERE n = 1
+  UNION ALL SELECT doc_id, position, section_path, text, n, following, length(text) < {D.MIN_CHUNK_CHARS} AND section_path IS NOT DISTINCT FROM following FROM
+    (SELECT o.doc_id, CASE WHEN r.goes_on THEN r.position ELSE o.position END AS position, o.section_path, CASE WHEN r.goes_on THEN r.text || chr(10) || chr(10) || o.text ELSE o.text END AS text, o.n, o.following
+     FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1))
+SELECT doc_id, position, section_path, text FROM r WHERE NOT goes_on""")
 def short_merge(t):
     lines = D.lines(D.pages(t("documents")))
     drafts = lines.select("doc_id", (F.col("page_number") * 1000 + F.col("line_index")).alias("position"), F.col("page_number").cast("string").alias("section_path"), F.col("line").alias("text"))

@@ -134,9 +134,9 @@ def stale_jobs(t):
     return R.stale_jobs(jobs, F.lit(as_of), 300).select("job_id", "created_at")
 
 
-@query("SELECT p_partkey AS object_id, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT p_partkey AS object_id, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def orphan_gc(t):
-    return R.orphans(t("part").select(F.col("p_partkey").alias("object_id"), "p_name"), t("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("object_id")))
+    return R.orphans(t("part").select(F.col("p_partkey").alias("object_id"), "p_name"), t("lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("object_id")))
 
 
 @query("""
@@ -313,16 +313,26 @@ def corpus_summary(t):
     return t("documents").agg(F.count("*").alias("documents"), F.count_if(F.col("n_chars") < 100).alias("too_short"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, ts, n, ts AS opened, 1 AS used FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.ts, o.n, CASE WHEN o.ts - r.opened >= INTERVAL 3600 SECOND THEN o.ts ELSE r.opened END, CASE WHEN o.ts - r.opened >= INTERVAL 3600 SECOND THEN 1 ELSE r.used + 1 END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, event_id, ts, used <= 5 AS allowed FROM r""")
 def rate_limit(t):
     from ..streaming.jobs import rate_limited
 
     return rate_limited(t("events").select("user_id", "event_id", "ts"), limit=5, seconds=3600)
 
 
-@query()
+@query("""
+WITH r AS (SELECT 'f' || (c_nationkey % 3) || '.csv' AS filename, (c_nationkey // 6)::VARCHAR AS sheet, c_custkey AS k, '| ' || c_name || ' | ' || c_mktsegment || ' |' AS l,
+  row_number() OVER (PARTITION BY c_nationkey % 3, c_nationkey // 6 ORDER BY c_custkey) - 1 AS p FROM customer)
+SELECT filename, sheet, min(k) AS row_start, max(k) AS row_end, 'Tabela: ' || sheet || chr(10) || '| name | segment |' || chr(10) || string_agg(l, chr(10) ORDER BY k) AS text FROM r GROUP BY filename, sheet, p // 15""")
 def sheet_blocks(t):
-    rows = t("customer").select(F.col("c_nationkey").cast("string").alias("sheet"), F.col("c_custkey").alias("row_index"), F.array(F.lit("name"), F.lit("segment")).alias("headers"), F.array("c_name", "c_mktsegment").alias("cells"))
+    nation = F.col("c_nationkey")
+    names = F.concat(F.lit("f"), (nation % 3).cast("string"), F.lit(".csv")).alias("filename"), F.floor(nation / 6).cast("string").alias("sheet")
+    rows = t("customer").select(*names, F.col("c_custkey").alias("row_index"), F.array(F.lit("name"), F.lit("segment")).alias("headers"), F.array("c_name", "c_mktsegment").alias("cells"))
     return D.sheet_blocks(rows)
 
 
