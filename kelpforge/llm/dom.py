@@ -1,4 +1,4 @@
-"""A small tolerant HTML parser: elements, their labels and the blocks of text in them."""
+"""A parser of HTML for pages as they are: elements, their labels and the blocks of text in them."""
 
 from __future__ import annotations
 
@@ -25,7 +25,8 @@ CLOSES = {
 #: Block elements before which an open paragraph ends.
 ENDS_PARAGRAPH = BLOCK - frozenset("html body caption tbody td tfoot th thead tr optgroup option legend".split())
 SCOPES = frozenset("html body article aside main section div nav header footer form table td th li blockquote figure button object".split())
-DEEPEST = 150
+#: Elements below so many others are not nested further; pages as people see them have a few dozen.
+DEEPEST = 600
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)

@@ -24,6 +24,8 @@ MIN_PAGES = 3
 COMMON_PERCENT = 80
 #: The nodes that a template keeps; beyond them the rarest go, which then count as slots.
 MAX_NODES = 1500
+#: Levels of a template; what lies below is text of the last one.
+LEVELS = 150
 SALTS = 32
 #: Templates are broadcast up to this size, and joined by a shuffle beyond.
 BROADCAST_BYTES = 64 << 20
@@ -35,6 +37,8 @@ NEVER = frozenset(
     "subscription signup social share sharing related recommended recommendations sidebar breadcrumb breadcrumbs navbar navigation nav menu comment comments disqus "
     "replies respond discussion reactions footer masthead pagination pager paywall".split()
 )
+#: Of these words those that hold even of what encloses the page's title.
+REMARKS = frozenset("comment comments".split())
 MAYBE = frozenset("header banner notice notices alert widget widgets side rail aside form search login toolbar topbar skip tags meta byline complementary contentinfo".split())
 CONTENT = frozenset("article content post entry main story body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -68,7 +72,7 @@ def fold(node: dom.Node) -> list:
                     own.append(child)
                 elif child.tag in dom.RAW:
                     continue
-                elif child.tag in dom.BLOCK:
+                elif child.tag in dom.BLOCK and one.depth < LEVELS:
                     name = child.label
                     if below and below[-1][0] == name:
                         below[-1][1].append(child)
@@ -200,7 +204,7 @@ def _dropped(node: dom.Node) -> bool:
     names = node.names
     if node.tag in HEADINGS or node.tag in ("html", "body", "main"):
         return False
-    if names & NEVER and not (node.tag == "article" and not names & {"comment", "comments"}):
+    if names & NEVER and (names & REMARKS or node.tag != "article" and not any(x.tag == "h1" for x in _below(node))):
         return True
     if node.tag == "header" or (names & MAYBE and not names & CONTENT):
         return not any(x.tag in HEADINGS for x in _below(node))
@@ -330,7 +334,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Null html counts as empty, null and odd URLs as one host; ids, null or repeated, are carried as they are; other
     columns are ignored; an empty table gives no rows. A host with fewer than MIN_PAGES different pages has no template,
-    its pages are judged by their elements alone.
+    its pages are judged by their elements alone. Limits: an element below DEEPEST others is not nested, so that a menu
+    there stays text; templates have LEVELS levels and keep MAX_NODES nodes, the rest counts as varying.
     """
     templates = materialize(induce(pages, url_col=url_col, html_col=html_col), "templates")
     size = templates.agg(F.coalesce(F.sum(F.length("template") + F.length("host")), F.lit(0)).alias("n")).first()["n"]

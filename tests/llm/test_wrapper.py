@@ -122,3 +122,14 @@ def test_nulls_and_empty_table(spark):
 
 def test_host():
     assert dom.clean([" a&nbsp;b\n", " c "]) == "a b c"
+
+
+def test_deep_menus_and_names_around_the_title():
+    deep = "<div>" * 160 + "<nav>menu</nav><p>kept</p>" + "</div>" * 160
+    assert wrapper.extract_text(f"<body>{deep}</body>", wrapper.Wrapper()) == "kept"
+    page = '<body><div class="related-work"><h1>Title</h1><p>Text of the page.</p></div><div class="related"><p>More like this</p></div><div class="comments"><h1>Remarks</h1></div></body>'
+    assert wrapper.extract_text(page, wrapper.Wrapper()) == "Title\n\nText of the page."
+    known = wrapper.Wrapper()
+    for k in range(3):
+        known.add(wrapper.Wrapper.of_page("<div>" * 900 + f"<p>page {k}</p>"))
+    assert wrapper.extract_text("<div>" * 900 + "<p>page 7</p>", known) == "page 7"
