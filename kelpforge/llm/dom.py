@@ -1,4 +1,4 @@
-"""A parser of HTML for pages as they are: elements, their labels and the blocks of text in them."""
+"""Reads HTML pages as they are: elements, their labels and the blocks of text in them."""
 
 from __future__ import annotations
 
