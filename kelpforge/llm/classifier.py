@@ -114,12 +114,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The sample's ids, of fixed number, are broadcast; its documents are turned into vectors where they lie and meet in
     one task, in the order of their hashes, so that the same rows give the same weights. Rows without a label or an id
-    are left out; without any row the weights are zero.
+    are left out; of rows that share an id the least text is learned, once for each label of the id, so that the task
+    never holds more than ``rows`` vectors; other columns are ignored; without any row the weights are zero.
     """
     by_hash = F.xxhash64("doc_id", F.lit(3))
     usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     chosen = usable.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(by_hash, "label").limit(rows)
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    met = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = shared_features(bits)

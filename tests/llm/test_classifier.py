@@ -61,3 +61,25 @@ def test_odd_rows(spark):
     assert not weights.any()
     assert [r.score for r in classifier.score(docs, weights, bits=10).collect()] == [0.5] * 4
     assert classifier.score(docs.limit(0), weights, bits=10).count() == 0
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([(i, t, 9, 9.0) for i, t, _ in rows], "doc_id long, text string, label int, score double")
+    labels = spark.createDataFrame([(i, y, "x", 1) for i, _, y in rows], "doc_id long, quality int, text string, toxic int")
+    weights = classifier.train(docs, labels, bits=12)
+    assert weights.any() and (weights == classifier.train(docs.union(docs).union(docs.limit(5)), labels.union(labels), bits=12)).all()
+    got = classifier.score(docs, weights, bits=12)
+    assert got.columns == ["doc_id", "score"] and got.count() == 60
+
+
+def test_scores_match_plain_sums(spark):
+    rows = corpus(40)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    weights = np.random.default_rng(3).normal(size=(1 << 12) + 1)
+    got = {r.doc_id: r.score for r in classifier.score(docs, weights, bits=12).collect()}
+    for i, text, _ in rows:
+        at, x = classifier.Features(12)(text)
+        assert len(set(at.tolist())) == len(at)
+        margin = weights[-1] + sum(weights[a] * b for a, b in zip(at.tolist(), x.tolist(), strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-margin))) < 1e-9
