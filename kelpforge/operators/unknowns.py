@@ -12,8 +12,9 @@ from .records import BLOCKING
 from .versions import REVIEWERS
 
 # Fixed values.
-FACT_TYPES = ["service_price", "business_hours", "payment_method", "contact_info", "faq_item", "controlled_document_metadata"]
-RULE_TYPES = ["discount_rule", "cancellation_policy", "industrial_requirement", "industrial_responsibility", "industrial_relation"]
+FACT_TYPES = ["service_price", "business_hours", "payment_method", "contact_info", "faq_item"]
+RULE_TYPES = ["discount_rule", "cancellation_policy"]
+DONE_JOBS = ["completed", "succeeded", "success"]
 DESTINATIONS = {"fact": "extracted_facts", "rule": "business_rules"}
 OPEN_ITEMS = ["open", "schema_requested"]
 IN_REVIEW = ["needs_review", "conflicted"]
@@ -118,7 +119,7 @@ def pilot_steps(snapshots: DataFrame) -> DataFrame:
     """``workspace_id, runtime, upload, pipeline, review, query, tone`` from a snapshot of each workspace's counts."""
     up = F.coalesce("api_reachable", F.lit(False))
     job = F.col("latest_job_status")
-    pipeline = F.when(job.isNull() | (job == ""), "next").when(job.isin("failed", "dead_letter"), "attention").when(job.isin("queued", "running", "retrying"), "attention").otherwise("ready")
+    pipeline = F.when(job.isNull() | (job == ""), "next").when(job.isin(DONE_JOBS), "ready").otherwise("attention")
     guarded = lambda name, c: F.when(~up, "blocked").otherwise(c).alias(name)
     return snapshots.select(
         "workspace_id", guarded("runtime", F.lit("ready")), guarded("upload", F.when(F.col("source_count") > 0, "ready").otherwise("next")), guarded("pipeline", pipeline),
