@@ -1,4 +1,4 @@
 """Query plans: the catalogue of named queries and the bundle export."""
 
-from . import catalog_answers, catalog_documents, catalog_public, catalog_readpath, catalog_records, catalog_unknowns, catalog_versions  # noqa: F401
+from . import catalog_answers, catalog_documents, catalog_payloads, catalog_public, catalog_readpath, catalog_records, catalog_unknowns, catalog_versions  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
