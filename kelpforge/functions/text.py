@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -67,17 +68,34 @@ def _folds() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 ACCENTED, PLAIN = _folds()
 
 
+def _compositions() -> list[tuple[str, str]]:
+    """Latin letters with their canonical decomposition, longer ones first."""
+    letters = [chr(k) for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(unicodedata.normalize("NFD", c), c) for c in letters]
+    return sorted([(a, b) for a, b in pairs if a != b and unicodedata.normalize("NFC", a) == b], key=lambda p: (-len(p[0]), p))
+
+
+COMPOSITIONS = _compositions()
+
+
+def composed(text: Column) -> Column:
+    """Latin letters and their marks as one character each; a text without marks is only searched for them."""
+    pairs = F.from_json(F.lit(json.dumps(COMPOSITIONS)), "array<array<string>>")
+    return F.when(text.rlike("[\\x{300}-\\x{36f}]"), F.aggregate(pairs, text, lambda t, p: F.replace(t, p[0], p[1]))).otherwise(text)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at either end, of any kind."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, of whole letters or of letters and marks."""
+    return F.translate(F.lower(text), ACCENTED + MARKS, PLAIN)  # what has no counterpart is dropped
 
 
 def words(text: Column) -> Column:
@@ -176,8 +194,8 @@ def document_status(text: Column) -> Column:
 
 
 def canonical_quote(text: Column) -> Column:
-    """One kind of quotation mark, white space collapsed and trimmed."""
-    straight = F.translate(text, *QUOTE_LETTERS)
+    """Letters composed, one kind of quotation mark, white space collapsed and trimmed."""
+    straight = F.translate(composed(text), *QUOTE_LETTERS)
     return F.trim(F.regexp_replace(straight, r"(?U)\s+", " "))
 
 

@@ -95,8 +95,10 @@ def canonical_claim(payload: pd.Series) -> pd.Series:
 
 def grounding_key(kind: Column, claim_json: Column, quote: Column, prompt_version: Column, model: Column) -> Column:
     """One key for equal claims, so that a model is asked once for each."""
+    from .text import composed
+
     plain = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
-    return F.sha2(F.concat_ws("\x1f", plain(kind), canonical_claim(claim_json), plain(quote), plain(prompt_version), plain(model)), 256)
+    return F.sha2(F.concat_ws("\x1f", plain(kind), canonical_claim(claim_json), plain(composed(quote)), plain(prompt_version), plain(model)), 256)
 
 
 def _drop(value, hidden):

@@ -112,3 +112,9 @@ def test_stream_takes_each_job_once(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     jobs.process(jobs.distinct_jobs(stream), lambda batch: batch.select("idempotency_key"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("idempotency_key").collect()) == ["a", "b"]
+
+
+def test_marks(spark):
+    one = spark.createDataFrame([("Pre\u0301-requisito c\u0327a\u0303o", "Pr\u00e9-requisito \u00e7\u00e3o")], "a string, b string")
+    row = one.select(X.canonical_quote(F.col("a")), X.canonical_quote(F.col("b")), X.fold(F.col("a")), X.fold(F.col("b")), X.composed(F.lit(None).cast("string"))).first()
+    assert row[0] == row[1] == "Pr\u00e9-requisito \u00e7\u00e3o" and row[2] == row[3] == "pre-requisito cao" and row[4] is None
