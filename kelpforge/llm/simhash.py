@@ -23,8 +23,9 @@ from .components import connected_components
 
 SEED = 42
 BITS = 3
-#: A shard of about so many fingerprints at home; the trees are fitted on a sample of at most SAMPLE fingerprints.
-SHARD, SAMPLE = 4096, 65_536
+#: A shard has so many fingerprints at home: a SHARDS-th of all, within these bounds. The larger a shard, the fewer copies go
+#: over balls' surfaces through the shuffle, as it goes on splitting in memory. The trees are fitted on SAMPLE fingerprints at most.
+SHARD, LARGEST_SHARD, SHARDS, SAMPLE = 4096, 65_536, 64, 65_536
 #: Within a shard, at most so many fingerprints are compared with each other at once.
 BUCKET = 1024
 
@@ -183,7 +184,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     share = min(1.0, SAMPLE / max(n, 1))
     picked = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
     sample = np.array([r[0] for r in picked.orderBy(F.xxhash64("fp", F.lit(7))).limit(SAMPLE).collect()], np.int64)
-    trees = [VantageTree(_half(sample, half), math.ceil(n / SHARD)) for half in (0, 1)]
+    shards = math.ceil(n / min(LARGEST_SHARD, max(SHARD, n // SHARDS)))
+    trees = [VantageTree(_half(sample, half), shards) for half in (0, 1)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
