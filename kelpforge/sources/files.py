@@ -25,6 +25,7 @@ MAX_FILE_BYTES = 50 << 20
 MAX_TEXT_BYTES = 1 << 20
 MAX_ROWS = 10_000
 MAX_SHEETS = 20
+MAX_COLUMNS = 16_384
 MAX_ENTRIES, MAX_ARCHIVE_BYTES = 1000, 100 << 20
 MAX_OFFICE_ENTRIES, MAX_RATIO = 5000, 100
 KINDS = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "docx": "docx", "xlsx": "xlsx", "pdf": "application/pdf", "zip": "application/zip"}
@@ -141,8 +142,9 @@ def _xlsx_tables(data: bytes) -> list[tuple]:
             if "xl/sharedStrings.xml" in names:
                 shared = ["".join(t.text or "" for t in x.iter(f"{_SHEET}t")) for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
             links = {x.get("Id"): x.get("Target", "") for x in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
-            out: list[tuple] = []
-            for sheet in list(ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"))[:MAX_SHEETS]:
+            sheets = list(ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"))
+            out: list[tuple] = [(None, None, None, None, "sheets_truncated")] if len(sheets) > MAX_SHEETS else []
+            for sheet in sheets[:MAX_SHEETS]:
                 target = links[sheet.get(f"{_REL}id")].lstrip("/")
                 root = ElementTree.fromstring(archive.read(target if target.startswith("xl/") else f"xl/{target}"))
                 rows = [(int(row.get("r", k + 1)), _xlsx_cells(row, shared)) for k, row in enumerate(root.iter(f"{_SHEET}row"))]
@@ -150,7 +152,7 @@ def _xlsx_tables(data: bytes) -> list[tuple]:
                     return [(sheet.get("name"), None, None, None, "rows_exceeded")]
                 out += _table(sheet.get("name", ""), rows)
             return out
-    except (KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+    except (KeyError, IndexError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):  # bad row numbers, columns and shared texts too
         return [(None, None, None, None, "parse_failed")]
 
 
@@ -164,6 +166,8 @@ def _xlsx_cells(row, shared: list[str]) -> list[str]:
             for c in letters:
                 at = 26 * at + ord(c) - 64
             at -= 1
+        if at >= MAX_COLUMNS:
+            raise ValueError("a column beyond the last one")
         value = cell.findtext(f"{_SHEET}v") or ""
         if cell.get("t") == "s" and value:
             value = shared[int(value)]

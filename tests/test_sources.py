@@ -23,10 +23,10 @@ def docx():
     return archive({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>"})
 
 
-def xlsx():
-    rows = '<row r="1"><c r="A1"/></row><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="inlineStr"><is><t>c</t></is></c></row><row r="5"><c r="A5"><v>7</v></c></row>'
+def xlsx(rows=None, sheets=1):
+    rows = rows or '<row r="1"><c r="A1"/></row><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="inlineStr"><is><t>c</t></is></c></row><row r="5"><c r="A5"><v>7</v></c></row>'
     return archive({
-        "xl/workbook.xml": f'<workbook {X} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+        "xl/workbook.xml": f'<workbook {X} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{'<sheet name="S" r:id="r1"/>' * sheets}</sheets></workbook>',
         "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
         "xl/sharedStrings.xml": f"<sst {X}><si><t>a</t></si></sst>",
         "xl/worksheets/sheet1.xml": f"<worksheet {X}><sheetData>{rows}</sheetData></worksheet>",
@@ -68,3 +68,10 @@ def test_bundle(tmp_path):
     path = tmp_path / "x.json"
     assert write_bundle('{"b": 1, "a": "é"}', path, check=True) and not path.exists()
     assert write_bundle('{"b": 1, "a": "é"}', path) and not write_bundle('{"a": "é", "b": 1}', path)
+
+
+def test_broken_workbooks():
+    bad = ['<row r="x"><c r="A1"/></row>', '<row r="1"><c r="A1" t="s"><v>9</v></c></row>', '<row r="1"><c r="ZZZZZZ1"><v>1</v></c></row>']
+    assert all(S._xlsx_tables(xlsx(rows)) == [(None, None, None, None, "parse_failed")] for rows in bad)
+    many = S._xlsx_tables(xlsx(sheets=S.MAX_SHEETS + 1))
+    assert many[0] == (None, None, None, None, "sheets_truncated") and len(many) == 1 + S.MAX_SHEETS
