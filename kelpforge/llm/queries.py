@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chroma, chunking, classifier, packing, pieces, quality, resample, secrets, simhash, wrapper
+from . import chat, chroma, chunking, classifier, packing, pieces, quality, repair, resample, secrets, simhash, wrapper
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_nbest_pieces": pieces.op10_nbest_pieces,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_importance_resampling": resample.op12_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
     "op12_importance_resampling": resample.OP12_SQL,
 }
