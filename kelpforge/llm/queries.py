@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chroma, chunking, classifier, packing, pieces, quality, repair, resample, secrets, simhash, wrapper
+from . import chat, chroma, chunking, classifier, jaccard, packing, pieces, quality, repair, resample, secrets, simhash, wrapper
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_nbest_pieces": pieces.op10_nbest_pieces,
     "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_ngram_jaccard": jaccard.op13_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality.OP8_SQL,
     "op11_conversation_repair": repair.OP11_SQL,
     "op12_importance_resampling": resample.OP12_SQL,
+    "op13_ngram_jaccard": jaccard.OP13_SQL,
 }
