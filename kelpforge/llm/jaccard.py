@@ -97,13 +97,13 @@ def least_shared(n: np.ndarray) -> np.ndarray:
 def choices(n: np.ndarray, met: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
     """How many shared tokens each row asks for: the choice with the least expected cost.
 
-    ``met`` holds the other sets that each token may be in, row by row in the order of prefixes. All of them are met by a prefix that
-    reaches so far; of the candidates each needs that many meetings.
+    ``met`` holds the other sets that each token may be in, row by row in the order of prefixes. A prefix that reaches a token
+    meets all of them, and a candidate takes as many meetings as are asked for. Expected are partners of the row's own size.
     """
     running = np.concatenate([[0], np.cumsum(met)])
     best, chosen = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for m in range(1, MOST + 1):
-        reach = n - least_shared(n) + m
+        reach = n + 8 * n // -9 + m
         able = (n > 0) & (m <= least_shared(n))
         meetings = running[np.where(able, first + np.minimum(reach, n), 0)] - running[np.where(able, first, 0)]
         cost = np.where(able, reach + meetings + CANDIDATE * meetings / m, np.inf)
