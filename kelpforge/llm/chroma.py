@@ -2,9 +2,9 @@
 
 A recording becomes frames of twelve pitch classes. Sixteen filters compare sums over rectangles of that image, which
 an integral image gives in four reads; each is quantised to two bits of a Gray code, so that one 32-bit integer stands
-for a frame. At each offset between two recordings every equal bit is a vote for it and every other bit one against. The
-votes of a grid of frames, the histogram over offsets, name the offsets worth a look; the bit errors over the whole overlap
-decide, and of the offsets within the limit the one with the most votes wins.
+for a frame. At each offset between two recordings every equal bit is a vote for it and every other bit one against. One bit
+of each of 64 frames in a row, packed into one word, votes at every offset: this histogram names the offsets worth a look; the
+bit errors over the whole overlap decide, and of the offsets within the limit the one with the most votes wins.
 """
 
 from __future__ import annotations
@@ -41,10 +41,10 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: frames more, and about 2 in a million over 64, which are four seconds.
 MAX_ERROR = 0.12
 MIN_OVERLAP = 64
-#: The grid: every so many frames, the upper bit of each filter. Of every STEP offsets one is tried, since frames are like
-#: their neighbours, and up to this share of wrong bits it and those beside it are looked at.
-GRID, STEP, GRID_ERROR = 12, 3, 0.26
-#: Recordings longer than this go through transforms over all bits instead of the grid.
+#: A window of so many frames votes with one bit a frame, each bit of the integers in turn; windows begin STRIDE frames apart. An
+#: offset is looked at if in some window at most this share of the votes is wrong.
+WINDOW, STRIDE, VOTE_ERROR = 64, 32, 0.26
+#: Recordings longer than this go through transforms over all bits instead, which cost less there.
 SHORT = 512
 #: Recordings and queries are compared in blocks of about so many frames, and within a block so many sums at once.
 BLOCK_FRAMES, QUERY_FRAMES = 65_536, 262_144
@@ -173,8 +173,16 @@ def _errors(q_ints, r_ints, q_len, r_len, i, j, offset: int) -> Iterator[tuple[i
             yield int(i[k]), int(j[k]), int(end[k]) - first, int(errors[k])
 
 
-def _grid_offsets(asked: list[np.ndarray], known: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """As ``offsets``, for short recordings: votes of the grid at each offset by one product, then all bits where they are many."""
+def _words(ints: np.ndarray) -> np.ndarray:
+    """For each recording and first frame the votes of the window there: bit k is that of frame k, at place k modulo 32."""
+    out = np.zeros((len(ints), ints.shape[1] - WINDOW + 1), np.uint64)
+    for k in range(WINDOW):
+        out |= ((ints[:, k : k + out.shape[1]] >> np.uint32(k % 32)) & np.uint32(1)).astype(np.uint64) << np.uint64(k)
+    return np.ascontiguousarray(out.T)
+
+
+def _short_offsets(asked: list[np.ndarray], known: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """As ``offsets``, for short recordings in the order of their lengths: votes of windows at every offset, then all bits where few are wrong."""
     q_len, r_len = (np.array([len(x) for x in side]) for side in (asked, known))
     longest, widest = int(q_len.max()), int(r_len.max())
 
@@ -185,34 +193,21 @@ def _grid_offsets(asked: list[np.ndarray], known: list[np.ndarray]) -> Iterator[
         return out
 
     q_ints, r_ints = padded(asked, longest), padded(known, widest)
-    upper = np.arange(1, 2 * len(FILTERS), 2, dtype=np.uint32)
-
-    def signs(ints, lengths):
-        out = 1 - 2 * ((ints[:, :, None] >> upper) & np.uint32(1)).astype(np.float32)
-        out[np.arange(ints.shape[1])[None, :] >= lengths[:, None]] = 0
-        return out
-
-    grid = np.arange(0, widest, GRID)
-    right = np.ascontiguousarray(signs(r_ints, r_len)[:, grid].reshape(len(known), -1).T)
-    right_in = (grid[None, :] < r_len[:, None]).astype(np.float32).T
-    # queries with room before and behind, so that each offset is a slice
-    left = np.zeros((len(asked), widest + longest + widest, len(FILTERS)), np.float32)
-    left[:, widest : widest + longest] = signs(q_ints, q_len)
-    inside = np.zeros(left.shape[:2], np.float32)
-    inside[:, widest : widest + longest] = np.arange(longest)[None, :] < q_len[:, None]
-    same = len(set(q_len.tolist())) == 1 and len(set(r_len.tolist())) == 1
+    left, right = _words(q_ints), _words(r_ints)
     best: dict[tuple[int, int], tuple] = {}
-    lowest, highest = MIN_OVERLAP - longest, widest - MIN_OVERLAP
-    for tried in range(min(lowest + STEP // 2, highest), highest + STEP // 2 + 1, STEP):
-        at = widest + grid - tried
-        votes = left[:, at].reshape(len(asked), -1) @ right
-        frames = inside[:, at] @ right_in if not same else float(inside[0, at] @ right_in[:, 0])
-        rows, cols = np.nonzero(votes >= len(FILTERS) * (1 - 2 * GRID_ERROR) * frames)
-        for offset in range(max(lowest, tried - STEP // 2), min(highest, tried + STEP // 2) + 1):
-            for start in range(0, len(rows), 65_536):
-                for q, r, n, errors in _errors(q_ints, r_ints, q_len, r_len, rows[start : start + 65_536], cols[start : start + 65_536], offset):
-                    found = (32 * n - 2 * errors, -offset, n, errors)
-                    best[q, r] = max(found, best.get((q, r), found))
+    for offset in range(MIN_OVERLAP - longest, widest - MIN_OVERLAP + 1):
+        found = []
+        for at in range(max(0, offset), min(widest, longest + offset) - WINDOW + 1, STRIDE):
+            q, r = np.searchsorted(q_len, at - offset + WINDOW), np.searchsorted(r_len, at + WINDOW)  # those before end too early
+            wrong = np.bitwise_count(left[at - offset, q:, None] ^ right[at, None, r:])
+            near = np.flatnonzero(wrong <= int(VOTE_ERROR * WINDOW))
+            found.append((near // wrong.shape[1] + q) * len(known) + near % wrong.shape[1] + r if len(near) else near)
+        pairs = np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
+        for start in range(0, len(pairs), 65_536):
+            rows, cols = np.divmod(pairs[start : start + 65_536], len(known))
+            for q, r, n, errors in _errors(q_ints, r_ints, q_len, r_len, rows, cols, offset):
+                held = (32 * n - 2 * errors, -offset, n, errors)
+                best[q, r] = max(held, best.get((q, r), held))
     for (q, r), (vote, back, n, errors) in best.items():
         yield q, r, -back, vote, n, errors
 
@@ -220,7 +215,7 @@ def _grid_offsets(asked: list[np.ndarray], known: list[np.ndarray]) -> Iterator[
 def offsets(asked: list[np.ndarray], known: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """``query, recording, offset, votes, overlap, bit errors`` of each pair's best offset within the limits, by place.
 
-    Short recordings go through the grid. For others votes at all offsets are a correlation, so that a product for each
+    Short recordings vote with windows. For others votes at all offsets are a correlation, so that a product for each
     frequency gives them for all pairs; what comes near the limit is counted again bit by bit.
     """
     short_q, long_q = ([k for k, x in enumerate(asked) if MIN_OVERLAP <= len(x) <= SHORT], [k for k, x in enumerate(asked) if len(x) > SHORT])
@@ -229,7 +224,7 @@ def offsets(asked: list[np.ndarray], known: list[np.ndarray]) -> Iterator[tuple[
     for at in range(0, len(short), 1024):
         for q_at in range(0, len(short_q), 512):
             rows, cols = short_q[q_at : q_at + 512], short[at : at + 1024]
-            for q, r, *rest in _grid_offsets([asked[k] for k in rows], [known[k] for k in cols]):
+            for q, r, *rest in _short_offsets([asked[k] for k in rows], [known[k] for k in cols]):
                 yield rows[q], cols[r], *rest
     for rows, cols in ((short_q, long), (long_q, short + long)):
         for q, r, *rest in _all_offsets([asked[k] for k in rows], [known[k] for k in cols]) if rows and cols else ():
@@ -281,9 +276,10 @@ def align(queries: DataFrame, recordings: DataFrame) -> DataFrame:
 
     Both take ``rec_id, ints``. Frame t of the recording is heard at frame t - offset of the query. Equal fingerprints
     are one class and aligned once. Every class of the queries is compared with every class of the recordings at every offset,
-    block by block, on the grid first, so that no match depends on how often an integer occurs. ``votes`` are equal less
-    different bits; of an offset's ties the least wins. Rows without an id or a fingerprint match nothing; repeated rows
-    match once.
+    block by block, so that no match depends on how often an integer occurs. Of recordings of up to SHORT frames a window
+    votes first, with a bit a frame: a match is lost if each of its windows has over VOTE_ERROR of these wrong, which of matches
+    at the limit of MAX_ERROR happens to few in a thousand. ``votes`` are equal less different bits; of an offset's ties the least
+    wins. Rows without an id or a fingerprint match nothing, nor do recordings of under MIN_OVERLAP frames; repeated rows match once.
     """
     known = materialize(recordings.where("rec_id IS NOT NULL AND size(ints) > 0").select("rec_id", "ints", F.xxhash64("ints").alias("class")).distinct(), "recordings")
     asked = materialize(queries.where("rec_id IS NOT NULL AND size(ints) > 0").select("rec_id", "ints", F.xxhash64("ints").alias("class")).distinct(), "queries")
@@ -325,14 +321,34 @@ def rendered(vector: list[float]) -> np.ndarray:
     return (np.exp(np.clip(np.lib.stride_tricks.sliding_window_view(values, PITCHES), -4, 4)) @ _tones()).ravel()
 
 
+#: Every tenth recording is quoted by the one so many ids after it, with noise of this share of its loudness.
+QUOTED, NOISE = 5, 0.02
+
+
+def quoting(row: dict) -> np.ndarray:
+    """A recording ``own`` and after it, if there is one, a quotation with noise that depends on the id."""
+    own, quote = rendered(row["own"] or []), rendered(row["quote"] or [])
+    if not len(quote):
+        return own
+    return np.concatenate([own, quote + np.random.default_rng(row["id"]).normal(0, NOISE * quote.std(), len(quote))])
+
+
+def recordings(vectors: DataFrame) -> DataFrame:
+    """``vec_id, audio``: what ``quoting`` renders for each row. An id that occurs several times is quoted by its least vector."""
+    quotes = vectors.where("vec_id % 10 = 0").groupBy((F.col("vec_id") + QUOTED).alias("vec_id")).agg(F.min("embedding").alias("quote"))
+    joined = vectors.select("vec_id", "embedding").join(quotes, "vec_id", "left")
+    return joined.select("vec_id", F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("own"), "quote").alias("audio"))
+
+
 def op2_chroma_alignment(spark, sf_dir):
-    """The tables hold no audio: each embedding is rendered as a recording, and every twentieth is looked for in all.
+    """The tables hold no audio: each embedding is rendered as a recording, every tenth is quoted by another with
+    noise, and every twentieth is looked for in all.
 
     One row for each query: its number of links, the smallest id among itself and its matches, the best match (fewest
     errors a frame, then the smallest id) with its offset, overlap and errors, and the sum of the hashes of all pairs
     ``rec_id, offset, bit_errors``, which stands for the whole list. ``align`` gives the pairs themselves.
     """
-    marked = materialize(fingerprints(table(spark, sf_dir, "embeddings"), id_col="vec_id", audio_col="embedding", samples=rendered), "chroma")
+    marked = materialize(fingerprints(recordings(table(spark, sf_dir, "embeddings")), id_col="vec_id", audio_col="audio", samples=quoting), "chroma")
     queries = marked.where("rec_id % 20 = 0")
     order = F.struct("error_rate", "rec_id", "offset", "overlap", "bit_errors")
     each = F.xxhash64("rec_id", "offset", "bit_errors").cast("decimal(38,0)")

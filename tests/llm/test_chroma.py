@@ -74,6 +74,25 @@ def test_wrong_bits_in_every_frame_align(spark):
     assert (got[2, 12].offset, got[12, 2].offset, got[2, 12].overlap) == (10, -10, 170)
 
 
+def test_unlike_frames_and_wrong_bits_at_the_limit():
+    """Recall on frames that are not like their neighbours, with bit errors up to the limit, against all offsets."""
+    rng = np.random.default_rng(11)
+    found = wanted = 0
+    for rate in (0, 1 / 32, 3 / 32, chroma.MAX_ERROR):
+        known = {k: rng.integers(0, 2**32, int(rng.integers(64, 200)), dtype=np.uint32) for k in range(60)}
+        asked = {}
+        for k, x in known.items():
+            begin = int(rng.integers(0, len(x) - 63))
+            cut = np.concatenate([rng.integers(0, 2**32, int(rng.integers(0, 20)), dtype=np.uint32), x[begin:]])
+            wrong = rng.random((len(cut), 32)) < rate
+            asked[1000 + k] = cut ^ (wrong * (1 << np.arange(32, dtype=np.uint64))).sum(axis=1).astype(np.uint32)
+        got = {(1000 + q, r) for q, r, *_ in chroma.offsets(list(asked.values()), list(known.values()))}
+        want = brute(known | asked, asked) - {(q, r) for q in asked for r in asked}
+        assert got <= want
+        found, wanted = found + len(got), wanted + len(want)
+    assert found >= 0.98 * wanted and wanted > 140
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "media_id long, sound binary")
     marked = chroma.fingerprints(none, id_col="media_id", audio_col="sound")
@@ -88,7 +107,9 @@ def test_query_and_clashing_names(spark, tmp_path):
     rows = [(k, v.tolist(), 1) for k, v in enumerate(vectors)]
     spark.createDataFrame([*rows, rows[9], (60, None, 1), (None, vectors[20].tolist(), 1)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.query_id: r for r in chroma.op2_chroma_alignment(spark, str(tmp_path)).collect()}
-    assert set(got) == {0, 20, 40, 60} and [got[k].n_matches for k in (0, 20, 40, 60)] == [0, 2, 0, 0]
+    # 0, 20 and 40 are quoted by 5, 25 and 45; 7 and 9 are like 20, so 25 quotes them too; so is the row without an id, which matches nothing
+    assert set(got) == {0, 20, 40, 60} and [got[k].n_matches for k in (0, 20, 40, 60)] == [1, 3, 1, 0]
     assert (got[20].class_id, got[20].best_id, got[20].best_errors, got[0].class_id, got[60].n_frames) == (7, 9, 0, 0, 0)
+    assert (got[0].best_id, got[40].best_id) == (5, 45) and got[0].best_offset > chroma.MIN_OVERLAP and got[0].best_errors > 0
     extra = spark.createDataFrame([(1, [5] * 80, 3), (2, [5] * 80, 4)], "rec_id long, ints array<int>, class int")
     assert {(r.query_id, r.rec_id, r.overlap) for r in chroma.align(extra, extra).collect()} == {(1, 2, 80), (2, 1, 80)}
