@@ -19,17 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import UNBLANK, hashes, runs, scan
-from .common import join_few, materialize, slices, table
+from .common import discard, join_few, materialize, slices, table
 from .components import connected_components
 
 #: Words of a shingle. Documents link if 5 times what they share is at least 4 times their union.
 WORDS = 5
-#: The order's frequencies are counted in so many counters, by the upper bits of the tokens: 4 MB, at every size of input.
-COUNTER_BITS = 20
+#: The order knows the frequencies of so many tokens at most, the most frequent ones (4 MB, at every size of input). They are summed from
+#: those that a task meets in two sets or more; every other token counts as rare.
+FREQUENT = 1 << 18
 #: The most tokens that a document may ask for, and what a candidate costs against a meeting of two tokens.
 MOST, CANDIDATE = 8, 16.0
 #: A task remembers so many classes that it has dealt with.
 SEEN = 1_000_000
+#: A task counts so many tokens at a time.
+HELD = 8_000_000
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +67,36 @@ def _fresh(classes: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray
     return out
 
 
-def _marked(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n, class`` of each row, and how many tokens of different sets each counter has met."""
+def _marked(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``doc_id, n, class`` of each row; the frequent tokens in ascending order, and how many different sets have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, names = np.zeros(1 << COUNTER_BITS, np.int64), set(), ["doc_id", "n", "class", "counter", "met"]
+        held, seen, names = [], set(), ["doc_id", "n", "class", "token", "met"]
         for batch in slices(batches):
             row, token = shingle_sets(batch.column(1), words)
             sizes = np.bincount(row, minlength=batch.num_rows)
             classes = _classes(token, sizes)
-            new = _fresh(classes, sizes, seen)[row]
-            counts += np.bincount((token[new] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
+            held.append(token[_fresh(classes, sizes, seen)[row]])
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, mask=sizes == 0), none, none], names=names)
-        at = np.flatnonzero(counts)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(counts[at])], names=names)
-
-    both = materialize(docs.mapInArrow(run, "doc_id long, n long, class long, counter long, met long"), "shingle-classes")
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    found = both.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("met").alias("met")).toArrow()  # a row a counter
-    counts[found.column("counter").to_numpy()] = found.column("met").to_numpy()
-    return both.where("counter IS NULL").select("doc_id", "n", "class"), counts
+            if sum(map(len, held)) > HELD:
+                yield from told(held, names)
+                held = []
+        if held:
+            yield from told(held, names)
+
+    def told(held: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+        token, met = np.unique(np.concatenate(held), return_counts=True)
+        token, met = token[met > 1].view(np.int64), met[met > 1]
+        none = pa.nulls(len(token), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(met, pa.int64())], names=names)
+
+    both = materialize(docs.mapInArrow(run, "doc_id long, n long, class long, token long, met long"), "shingle-classes")
+    summed = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("met").alias("met"))
+    found = summed.orderBy(F.desc("met"), "token").limit(FREQUENT).toArrow()
+    token, met = (found.column(x).to_numpy() for x in ("token", "met"))
+    order = np.argsort(token.view(np.uint64))
+    return both.where("token IS NULL").select("doc_id", "n", "class"), token.view(np.uint64)[order], met[order]
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -97,7 +108,7 @@ def least_shared(n: np.ndarray) -> np.ndarray:
 def choices(n: np.ndarray, met: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
     """How many shared tokens each row asks for: the choice with the least expected cost.
 
-    ``met`` holds the other sets that each token may be in, row by row in the order of prefixes. A prefix that reaches a token
+    ``met`` holds how many other sets have each token, row by row in the order of prefixes. A prefix that reaches a token
     meets all of them, and a candidate takes as many meetings as are asked for. Expected are partners of the row's own size.
     """
     running = np.concatenate([[0], np.cumsum(met)])
@@ -112,12 +123,11 @@ def choices(n: np.ndarray, met: np.ndarray, row: np.ndarray, first: np.ndarray)
     return chosen
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: np.ndarray, sets: np.ndarray, words: int) -> DataFrame:
     """``token, class, n, place, asked``: the prefix of each set that the task meets for the first time.
 
-    ``place`` is the token's place in the common order of its set. Tokens that occur in one set only are left out.
+    ``place`` is the token's place in the common order of its set.
     """
-    held = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -127,14 +137,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
             classes = _classes(token, sizes)
             keep = _fresh(classes, sizes, seen)[row]
             row, token = row[keep], token[keep]
-            met = held[(token >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.int64)
+            at = np.minimum(np.searchsorted(frequent, token), max(len(frequent) - 1, 0))
+            met = np.where(frequent[at] == token, sets[at], 1) if len(frequent) else np.ones(len(token), np.int64)
             order = np.lexsort((token, met, row))
             row, token, met = row[order], token[order], met[order]
             n = np.bincount(row, minlength=batch.num_rows)
             first = np.cumsum(n) - n
             asked = choices(n, met - 1, row, first)
             place = np.arange(len(row)) - first[row]
-            within = (place < (n - least_shared(n) + asked)[row]) & (met > 1)
+            within = place < (n - least_shared(n) + asked)[row]
             row, place = row[within], place[within]
             columns = [pa.array(token[within].view(np.int64)), pa.array(classes[row]), *[pa.array(x.astype(np.int32)) for x in (n[row], place, asked[row])]]
             yield pa.RecordBatch.from_arrays(columns, names=["token", "class", "n", "place", "asked"])
@@ -163,19 +174,28 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return 9 * shared >= 4 * (n + m)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets are alike, by their exact intersection."""
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("class").alias(end), F.col("tokens").alias(f"{end}_set")), end)
-    return pairs.where(_alike(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"))).select("a", "b").distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are alike, by their exact intersection; only the sets of these pairs are shuffled."""
+    pairs = materialize(pairs, "pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
+    met = join_few(_sets(docs, words), wanted, "class", "inner")
+    sets = materialize(met.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
+    left = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.col("tokens").alias("a_set"))
+    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_set")), "b").join(left, "a")
+    links = materialize(both.where(_alike(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"))).select("a", "b"), "links")
+    discard(pairs, wanted, sets)
+    return links
 
 
 def _earliest(postings: DataFrame) -> DataFrame:
-    """``a, b``: each class with the one that has most of its shared tokens earliest, as far as their sizes allow a link."""
+    """``a, b``: each class with the one that has most of its tokens earliest, if those are a part of its prefix to speak of.
+
+    These links only spare pairs: what is not linked here is paired by ``_apart``.
+    """
     order = F.struct((F.col("place") * 1000 / F.col("n")).cast("int").alias("at"), (-F.col("n")).alias("less"), F.col("class").alias("a"), F.col("n").alias("m"))
     first = postings.groupBy("token").agg(F.min(order).alias("first")).select("token", "first.a", "first.m")
     met = postings.join(first, "token").where("class <> a AND 5 * least(n, m) >= 4 * greatest(n, m)")
-    votes = met.groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("votes"))
+    votes = met.groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("votes"), F.min("n").alias("n")).where("votes * 20 >= n")
     best = votes.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best"))
     return best.select(F.col("best.a").alias("a"), "b")
 
@@ -211,17 +231,17 @@ def shingle_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     empty table gives no rows. Links are exact: candidates are lost to no cap.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked, counts = _marked(own, words)
-    reach = materialize(prefixes(own, counts, words), "prefixes")
-    shared = materialize(reach.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "shared-tokens")
+    marked, frequent, sets = _marked(own, words)
+    reach = materialize(prefixes(own, frequent, sets, words), "prefixes")
+    shared = materialize(reach.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared-tokens")
     postings = materialize(join_few(reach, shared, "token", "inner"), "postings")
-    wanted = materialize(postings.select("class").distinct(), "wanted-classes")
-    sets = materialize(join_few(_sets(own, words), wanted, "class", "inner").groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
-    links = materialize(_verified(_earliest(postings), sets), "links")
+    discard(reach, shared)
+    links = _verified(_earliest(postings), own, words)
     roots = materialize(connected_components(links), "roots")
-    more = materialize(_verified(_apart(postings, roots), sets), "links")
+    more = _verified(_apart(postings, roots), own, words)
     if not more.isEmpty():
         roots = materialize(connected_components(links.union(more)), "roots")
+    discard(postings)
     nodes = marked.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     linked = nodes.join(roots.withColumnRenamed("node", "class"), "class")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
