@@ -6,7 +6,6 @@ source or the corpus.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,27 +136,6 @@ def blocks(sectioned: DataFrame) -> DataFrame:
     return sectioned.select("doc_id", "section_index", F.posexplode(F.flatten(F.transform(paragraphs, cut))).alias("block_index", "block"))
 
 
-def merge_short(drafts: DataFrame, least: int = MIN_CHUNK_CHARS) -> DataFrame:
-    """Drafts of fewer than ``least`` characters joined to the next of the same section path; the last stays as it is.
-
-    ``doc_id, position, section_path, text`` in, the same out. A fold over one document's drafts in order.
-    """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("position").to_dict("records")
-        out = []
-        for k, row in enumerate(rows):
-            following = rows[k + 1] if k + 1 < len(rows) else None
-            if following is not None and len(row["text"]) < least and row["section_path"] == following["section_path"]:
-                following |= {"text": f"{row['text']}\n\n{following['text']}".strip(), "position": row["position"]}
-            elif row["text"].strip():
-                out.append(row)
-        return pd.DataFrame(out, columns=["doc_id", "position", "section_path", "text"])
-
-    picked = drafts.select("doc_id", F.col("position").cast("long").alias("position"), F.coalesce("section_path", F.lit("")).alias("section_path"), "text")
-    return picked.groupBy("doc_id").applyInPandas(fold, "doc_id long, position long, section_path string, text string")
-
-
 def sheet_blocks(rows: DataFrame, size: int = SHEET_ROWS) -> DataFrame:
     """Table rows ``filename, sheet, row_index, headers, cells`` in blocks of ``size``, each as one text of piped lines.
 
@@ -216,43 +194,6 @@ def table_candidates(docs: DataFrame, preview: int = 5) -> DataFrame:
     return held.select("doc_id", F.size("rows").cast("long").alias("row_count"), F.array_join(F.slice("rows", 1, preview), "\n").alias("preview"))
 
 
-def structure(lined: DataFrame) -> DataFrame:
-    """Section spans of each document: ``page_number, line_index, label, section_title, section_path, risk, page_end``.
-
-    Numbered headings push on a stack by level, fixed headings clear it; a heading whose ancestors are missing has its
-    own label as path and a risk. A fold over one document's lines in order.
-    """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        stack: dict[int, str] = {}
-        found: list[dict] = []
-        for row in group.sort_values(["page_number", "line_index"]).itertuples():
-            numbered, key = re.match(SECTION, row.line), row.key
-            if numbered:
-                label = numbered.group(1)
-                level = label.count(".") + 1
-                gap = any(k not in stack for k in range(1, level))
-                stack = {k: v for k, v in stack.items() if k < level} | {level: label}
-                path = label if gap else "/".join(".".join(label.split(".")[:k]) for k in range(1, level + 1))
-                title = numbered.group(2).strip()
-            elif key in QMS_HEADINGS:
-                stack, label, gap, path, title = {}, key, False, key, row.line
-            else:
-                continue
-            found.append({"doc_id": row.doc_id, "page_number": row.page_number, "line_index": row.line_index, "label": label, "section_title": title, "section_path": path, "risk": "section_hierarchy_gap" if gap else ""})
-        last = int(group["page_number"].max()) if len(group) else 0
-        for k, span in enumerate(found):
-            following = found[k + 1]["page_number"] if k + 1 < len(found) else None
-            span["page_end"] = max(span["page_number"], last) if following is None else span["page_number"] if following == span["page_number"] else max(span["page_number"], following - 1)
-        return pd.DataFrame(found, columns=["doc_id", "page_number", "line_index", "label", "section_title", "section_path", "risk", "page_end"])
-
-    key = F.regexp_replace(F.regexp_replace(X.fold(F.col("line")), r"^[ :.\-]+|[ :.\-]+$", ""), r"\s+", " ")
-    schema = "doc_id long, page_number int, line_index int, label string, section_title string, section_path string, risk string, page_end int"
-    return lined.withColumn("key", key).groupBy("doc_id").applyInPandas(fold, schema)
-
-
 def candidates(lined: DataFrame) -> DataFrame:
     """Typed candidates of each line: requirements, responsibilities, references, equipment and numbered steps.
 
@@ -281,15 +222,3 @@ def candidates(lined: DataFrame) -> DataFrame:
     rows = lined.where(~toc).select("doc_id", "section", "line_index", F.explode(found).alias("c")).select("doc_id", "section", "line_index", "c.kind", "c.detail", "c.confidence")
     order = F.row_number().over(Window.partitionBy("doc_id", "section", "kind").orderBy("line_index"))
     return rows.withColumn("step_order", F.when(F.col("kind") == "procedure_step", order))
-
-
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """The generic path from texts to chunks: sections, blocks, short ones merged, then numbered and hashed."""
-    cut = blocks(sections(docs))
-    drafts = cut.select("doc_id", (F.col("section_index") * 1_000_000 + F.col("block_index")).alias("position"), F.lit("").alias("section_path"), F.col("block").alias("text"))
-    order = Window.partitionBy("doc_id").orderBy("position")
-    return merge_short(drafts).select(
-        "doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), "text", F.length("text").alias("char_count"), X.chunk_tokens(F.col("text")).alias("token_estimate"), F.sha2("text", 256).alias("chunk_hash")
-    )
-
-

@@ -7,6 +7,7 @@ from kelpforge.operators import documents as D
 from kelpforge.operators import grounding as G
 from kelpforge.operators import records as R
 from kelpforge.operators import retrieval as Q
+from kelpforge.operators import spans as S
 from kelpforge.streaming import jobs
 
 
@@ -52,14 +53,14 @@ def test_redaction_is_recursive(spark):
 
 def test_merge_short(spark):
     rows = [(1, 1, "a", "short"), (1, 2, "a", "x" * 60), (1, 3, "b", "tiny"), (1, 4, "c", "end"), (1, 5, "c", " ")]
-    got = D.merge_short(spark.createDataFrame(rows, "doc_id long, position int, section_path string, text string")).orderBy("position").collect()
+    got = S.merge_short(spark.createDataFrame(rows, "doc_id long, position int, section_path string, text string")).orderBy("position").collect()
     assert [(r.position, r.text) for r in got] == [(1, "short\n\n" + "x" * 60), (3, "tiny"), (4, "end")]
 
 
 def test_sections_stack(spark):
     lines = ["1 Geral", "1.1 Parte", "Objetivo", "3.2.1 Sem pai", "texto"]
     frame = spark.createDataFrame([(1, 1 + k // 3, k, x) for k, x in enumerate(lines)], "doc_id long, page_number int, line_index int, line string")
-    got = D.structure(frame).orderBy("line_index").collect()
+    got = S.section_spans(frame).orderBy("line_index").collect()
     assert [(r.section_path, r.risk, r.page_end) for r in got] == [("1", "", 1), ("1/1.1", "", 1), ("objetivo", "", 1), ("3.2.1", "section_hierarchy_gap", 2)]
 
 
