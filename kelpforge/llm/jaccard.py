@@ -24,9 +24,9 @@ from .components import connected_components
 
 #: Words of a shingle. Documents link if 5 times what they share is at least 4 times their union.
 WORDS = 5
-#: The order knows the frequencies of so many tokens at most, the most frequent ones (4 MB, at every size of input). They are summed from
+#: The order knows the frequencies of so many tokens at most, the most frequent ones (16 MB, at every size of input). They are summed from
 #: those that a task meets in two sets or more; every other token counts as rare.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 #: The most tokens that a document may ask for, and what a candidate costs against a meeting of two tokens.
 MOST, CANDIDATE = 8, 16.0
 #: A task remembers so many classes that it has dealt with.
@@ -174,16 +174,32 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return 9 * shared >= 4 * (n + m)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are alike, by their exact intersection; only the sets of these pairs are shuffled."""
-    pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "wanted")
+def _counted(pairs: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs that share as many tokens of their whole prefixes as they must.
+
+    What two sets share beyond these tokens lies in the rest of the one whose prefix ends first in the common order, so it is
+    no more than the longer of their rests.
+    """
+    held = postings.join(wanted, "class").groupBy("class").agg(F.collect_set("token").alias("own"), F.min("n").alias("n"), F.min("asked").alias("asked"))
+    held = held.withColumn("rest", F.expr("(4 * (n + (4 * n + 4) DIV 5) + 8) DIV 9 - asked"))
+    for end in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("class").alias(end), *[F.col(x).alias(f"{end}_{x}") for x in ("own", "n", "rest")]), end)
+    least = F.expr("(4 * (a_n + b_n) + 8) DIV 9 - greatest(a_rest, b_rest)")
+    return pairs.where(F.size(F.array_intersect("a_own", "b_own")) >= least).select("a", "b")
+
+
+def _verified(pairs: DataFrame, postings: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are alike: by their prefixes first, then by the exact intersection of the sets of those left."""
+    ends = lambda rows: rows.select(F.col("a").alias("class")).union(rows.select("b")).distinct()
+    first = materialize(pairs, "pairs")
+    pairs = materialize(_counted(first, postings, ends(first)), "pairs")
+    wanted = materialize(ends(pairs), "wanted")
     met = join_few(_sets(docs, words), wanted, "class", "inner")
     sets = materialize(met.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
     left = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.col("tokens").alias("a_set"))
     both = pairs.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_set")), "b").join(left, "a")
     links = materialize(both.where(_alike(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"))).select("a", "b"), "links")
-    discard(pairs, wanted, sets)
+    discard(first, pairs, wanted, sets)
     return links
 
 
@@ -205,7 +221,7 @@ def _apart(postings: DataFrame, roots: DataFrame) -> DataFrame:
 
     Of each token the largest component is not paired with itself: its classes meet only those of the others.
     """
-    rooted = postings.dropDuplicates(["token", "class"]).join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = postings.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rooted = materialize(rooted, "rooted")
     parts = rooted.groupBy("token", "root").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("k", "root")).alias("most")).where("lo < hi").select("token", F.col("most.root").alias("major"))
@@ -234,11 +250,11 @@ def shingle_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     marked, frequent, sets = _marked(own, words)
     reach = materialize(prefixes(own, frequent, sets, words), "prefixes")
     shared = materialize(reach.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared-tokens")
-    postings = materialize(join_few(reach, shared, "token", "inner"), "postings")
+    postings = materialize(join_few(reach, shared, "token", "inner").dropDuplicates(["token", "class"]), "postings")
     discard(reach, shared)
-    links = _verified(_earliest(postings), own, words)
+    links = _verified(_earliest(postings), postings, own, words)
     roots = materialize(connected_components(links), "roots")
-    more = _verified(_apart(postings, roots), own, words)
+    more = _verified(_apart(postings, roots), postings, own, words)
     if not more.isEmpty():
         roots = materialize(connected_components(links.union(more)), "roots")
     discard(postings)
