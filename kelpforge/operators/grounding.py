@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..sources.committed import Change, Store
 
 # Fixed values.
 PASSES, LEAST = 0.75, 0.30
@@ -114,22 +115,49 @@ def classify(chunks: DataFrame, model: Callable[[list[str]], list[list[dict]]])
     return said.unionByName(stopped)
 
 
-def grounded(claims: DataFrame, verdicts: Callable[[list[dict]], list[str]], profile: str = "default") -> DataFrame:
-    """Check by text, then, where stakes ask for it, a model's verdict, once for each grounding key.
-
-    ``claim_id, fact_type, claim, chunk, quote, char_start, char_end`` in. ``blocks`` marks required claims that failed
-    or on which the model abstained.
-    """
+def _keyed(claims: DataFrame, profile: str) -> DataFrame:
     checked = verify_quote(claims).withColumn("mode", stakes(F.col("fact_type"), profile))
-    keyed = checked.withColumn("grounding_key", V.grounding_key(F.col("fact_type"), F.col("claim"), F.coalesce("quote", F.lit("")), F.lit("v1"), F.lit("model")))
+    return checked.withColumn("grounding_key", V.grounding_key(F.col("fact_type"), F.col("claim"), F.coalesce("quote", F.lit("")), F.lit("v1"), F.lit("model")))
+
+
+def _asked(keyed: DataFrame, verdicts: Callable[[list[dict]], list[str]], known: DataFrame | None) -> DataFrame:
+    """``grounding_key, said`` of the distinct claims that need a verdict and have none in ``known``."""
     asking = keyed.where((F.col("status") == "passed") & (F.col("mode") != "not_configured")).groupBy("grounding_key").agg(F.first(F.struct("fact_type", "claim", "chunk", "quote")).alias("claim"))
+    if known is not None:
+        asking = asking.join(known.select("grounding_key"), "grounding_key", "left_anti")
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"grounding_key": frame["grounding_key"], "said": verdicts([dict(x) for x in frame["claim"]])})
 
-    said = asking.mapInPandas(ask, "grounding_key string, said string")
+    return asking.mapInPandas(ask, "grounding_key string, said string")
+
+
+def _routed(keyed: DataFrame, said: DataFrame) -> DataFrame:
     entailment = F.when(F.col("mode") == "not_configured", "not_required").when(F.col("status") == "failed", "failed")
     entailment = entailment.when(F.col("said").isin("supported", "passed"), "passed").when(F.col("said").isin("contradicted", "failed", "unsupported"), "failed").otherwise("abstained")
     out = keyed.join(said, "grounding_key", "left").withColumn("entailment", entailment)
     return out.withColumn("blocks", (F.col("mode") == "required") & F.col("entailment").isin("failed", "abstained")).drop("said")
+
+
+def grounded(claims: DataFrame, verdicts: Callable[[list[dict]], list[str]], profile: str = "default") -> DataFrame:
+    """Check by text, then, where stakes ask for it, a model's verdict, once for each grounding key.
+
+    ``claim_id, fact_type, claim, chunk, quote, char_start, char_end`` in. ``blocks`` marks required claims that failed
+    or on which the model abstained.
+    """
+    keyed = _keyed(claims, profile)
+    return _routed(keyed, _asked(keyed, verdicts, None))
+
+
+def grounded_once(store: Store, claims: DataFrame, verdicts: Callable[[list[dict]], list[str]], profile: str = "default") -> DataFrame:
+    """As ``grounded``, with verdicts kept in the table ``verdicts`` of a store: a key is asked for once, in whatever run.
+
+    New verdicts are committed before they are used, so that a run that is repeated after a loss asks only for what is missing.
+    """
+    keyed = _keyed(claims, profile)
+    known = store.read("verdicts") if not store.log().where(F.col("table") == "verdicts").isEmpty() else None
+    said = _asked(keyed, verdicts, known)
+    stage, number = store.stage(Change(claims.sparkSession.createDataFrame([], "job_key string")).append("verdicts", "grounding_key", said))
+    store.publish(stage, number)
+    return _routed(keyed, store.read("verdicts"))

@@ -35,13 +35,18 @@ class Change:
     """What one commit does: of each table the keys it replaces and the rows they then have."""
 
     jobs: DataFrame
-    replaces: dict[str, tuple[DataFrame, str, DataFrame]] = field(default_factory=dict)
+    replaces: dict[str, tuple[DataFrame | None, str, DataFrame]] = field(default_factory=dict)
 
     def replace(self, table: str, keys: DataFrame, key: str, rows: DataFrame) -> Change:
         """``keys`` (a column ``key``) lose what rows they had in ``table`` and get those of ``rows``, if any."""
         self.replaces[table] = (keys, key, rows)
         return self
 
+    def append(self, table: str, key: str, rows: DataFrame) -> Change:
+        """The keys of ``rows`` get them; the rows are computed once, and the keys are read from what was written."""
+        self.replaces[table] = (None, key, rows)
+        return self
+
 
 class Store:
     """Versioned tables under one folder.
@@ -82,7 +87,9 @@ class Store:
         number, stage = max(self.numbers(), default=0) + 1, uuid.uuid4().hex
         keys = change.jobs.select(F.lit(JOBS).alias("table"), F.col("job_key").cast("string").alias("key"))
         for table, (replaced, key, rows) in change.replaces.items():
-            rows.withColumn("_key", F.col(key).cast("string")).write.parquet(f"{self.root}/data/{table}/store_change={number}/{stage}")
+            folder = f"{self.root}/data/{table}/store_change={number}/{stage}"
+            rows.withColumn("_key", F.col(key).cast("string")).write.parquet(folder)
+            replaced = self.spark.read.parquet(folder) if replaced is None else replaced
             keys = keys.union(replaced.select(F.lit(table), F.col(key).cast("string")))
         keys.distinct().select("table", "key", F.lit(number).cast("long").alias("number"), F.lit(stage).alias("stage")).write.parquet(f"{self.root}/staged/{stage}")
         return stage, number
