@@ -157,10 +157,32 @@ def edit_errors(kind: Column, condition: Column, action: Column) -> Column:
     return F.slice(errors(kind, F.when(kind == "discount_rule", both).otherwise(merged)), 1, SHOWN_ERRORS)
 
 
+def _shown(value: Column, text: Column) -> Column:
+    """A JSON value, as variant and as text, as an answer shows it: texts bare, None, True and False, numbers; objects and arrays with
+    their texts in single quotes."""
+    kind = F.schema_of_variant(value)
+    outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'  # of texts
+    spaced = F.regexp_replace(text, "([,:])" + outside, "$1 ")
+    for word, name in (("null", "None"), ("true", "True"), ("false", "False")):
+        spaced = F.regexp_replace(spaced, rf"\b{word}\b" + outside, name)
+    nested = F.translate(spaced, '"', "'")
+    flag = F.when(F.try_variant_get(value, "$", "boolean"), "True").otherwise("False")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", flag).when(kind.rlike("^(OBJECT|ARRAY)"), nested).otherwise(F.try_variant_get(value, "$", "string"))
+
+
 def rendered(payload: Column, fallback: Column) -> Column:
-    """A fact's text: its service and price, else all its fields in order, else the fallback."""
-    get = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(payload, f"$.{n}"), F.lit("")) for n in names])
-    service, price = get("service", "service_name", "name"), get("price", "price_amount")
-    fields = F.from_json(payload, "map<string,string>")
-    listed = F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), ", ")
-    return F.when(service.isNotNull() & price.isNotNull(), F.concat(service, F.lit(": "), price)).when(F.size(fields) > 0, listed).otherwise(fallback)
+    """A fact's text: its service and price, else all its fields in order, else the fallback.
+
+    Of several names of service and price the first counts that says something: not empty, null, false or zero. A payload that
+    is no object or has no fields falls back.
+    """
+    value, texts = F.try_parse_json(payload), F.from_json(payload, "map<string,string>")
+
+    def said(*names: str) -> Column:
+        shown = [_shown(_at(value, n), F.element_at(texts, n)) for n in names]
+        return F.coalesce(*[F.when(~x.isin("", "None", "False", "0", "0.0", "{}", "[]"), x) for x in shown])
+
+    service, price = said("service", "service_name", "name"), said("price", "price_amount")
+    held = F.try_variant_get(value, "$", "map<string,variant>")
+    listed = F.array_join(F.transform(F.json_object_keys(payload), lambda k: F.concat(k, F.lit(": "), _shown(F.element_at(held, k), F.element_at(texts, k)))), ", ")
+    return F.when(service.isNotNull() & price.isNotNull(), F.concat(service, F.lit(": "), price)).when(F.size(held) > 0, listed).otherwise(fallback)

@@ -75,6 +75,24 @@ def with_evidence(records: DataFrame, spans: DataFrame, sources: DataFrame) -> D
     return records.join(held, "evidence_id", "left").join(sources.select("source_id", "title"), "source_id", "left")
 
 
+def quoted(docs: DataFrame, quotes: DataFrame, piece: int = 5) -> DataFrame:
+    """``doc_id, question_id`` for each text of ``docs`` that contains a ``quote``.
+
+    A quote of some words contains runs of whole words that the text has, too; the run of ``piece`` words after its first word, which
+    may be a part of one, is its key, and equal keys are joined before texts are searched. Quotes too short for that are
+    searched in every text, as there is nothing to join by.
+    """
+    words = lambda x: F.filter(F.split(F.col(x), r"\s+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - piece), lambda k: F.xxhash64(F.array_join(F.slice("w", k + 1, piece), " ")))
+    asked = quotes.select("question_id", "quote", words("quote").alias("w"))
+    keyed = asked.where(F.size("w") >= piece + 2).select("question_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, piece), " ")).alias("key"))
+    wanted = docs.select("doc_id", words("text").alias("w")).where(F.size("w") >= piece).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    met = wanted.join(keyed, "key").select("doc_id", "question_id", "quote")
+    found = met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(F.col("text"), F.col("quote"))).select("doc_id", "question_id")
+    short = asked.where(F.size("w") < piece + 2).select("question_id", "quote")
+    return found.union(docs.join(short, F.contains(F.col("text"), F.col("quote"))).select("doc_id", "question_id")).distinct()
+
+
 def recall_at(expected: Column, actual: Column, k: int) -> Column:
     """Share of the expected ids among the first ``k``; with nothing expected, one if nothing came."""
     hits = F.size(F.filter(expected, lambda x: F.array_contains(F.slice(actual, 1, k), x)))

@@ -93,19 +93,40 @@ def payload_normalised(t):
     return made
 
 
+def _shown(path: str) -> str:
+    at = f"json_extract(doc, '$.' || {path})::VARCHAR"
+    said = f"json_extract_string(doc, '$.' || {path})"
+    return f"""CASE json_type(doc, '$.' || {path}) WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN upper(left({said}, 1)) || substr({said}, 2)
+  WHEN 'OBJECT' THEN replace(replace(replace({at}, '":', '": '), ',"', ', "'), '"', chr(39))
+  WHEN 'ARRAY' THEN replace('[' || array_to_string(list_transform(json_extract(doc, '$.' || {path})::JSON[], lambda x: x::VARCHAR), ', ') || ']', '"', chr(39)) ELSE {said} END"""
+
+
+_SAYS = "CASE WHEN {0} NOT IN ('', 'None', 'False', '0', '0.0', '{{}}', '[]') THEN {0} END"
+
+
 @query(f"""
-WITH {CASES_SQL} SELECT id, CASE WHEN doc->>'service_name' <> '' AND doc->>'price_amount' <> '' THEN (doc->>'service_name') || ': ' || (doc->>'price_amount')
-  WHEN fact_type = 'faq_item' AND k = 21 THEN 'question: q?, answer: ' WHEN k = 11 THEN 'method: pix, accepted: true, conditions: None' ELSE p_name END AS rendered FROM rows_ WHERE fact_type IN ('service_price', 'payment_method', 'faq_item') AND k NOT IN (12, 22)""")
+WITH {CASES_SQL}, s AS (SELECT id, p_name, doc, coalesce({', '.join(_SAYS.format(_shown(f"'{x}'")) for x in ('service', 'service_name', 'name'))}) AS service,
+  coalesce({', '.join(_SAYS.format(_shown(f"'{x}'")) for x in ('price', 'price_amount'))}) AS price FROM rows_),
+k AS (SELECT id, doc, unnest(json_keys(doc)) AS key, generate_subscripts(json_keys(doc), 1) AS i FROM rows_ WHERE doc IS NOT NULL),
+l AS (SELECT id, string_agg(key || ': ' || {_shown('key')}, ', ' ORDER BY i) AS listed FROM k GROUP BY id)
+SELECT id, CASE WHEN service IS NOT NULL AND price IS NOT NULL THEN service || ': ' || price ELSE coalesce(listed, p_name) END AS rendered FROM s LEFT JOIN l USING (id)""")
 def facts_rendered(t):
-    rows = _cases(t).where("fact_type IN ('service_price', 'payment_method', 'faq_item') AND k NOT IN (12, 22)")
-    return rows.select("id", P.rendered(F.col("payload"), F.col("p_name")).alias("rendered"))
+    return _cases(t).select("id", P.rendered(F.col("payload"), F.col("p_name")).alias("rendered"))
 
 
 @query("""
-SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'condition.x: extra_forbidden' WHEN 1 THEN '' ELSE 'penalty_fixed: float_type|notice_required_hours: missing' END AS errors FROM customer""")
+WITH e AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'discount_rule' ELSE 'cancellation_policy' END AS kind,
+  CASE c_custkey % 3 WHEN 0 THEN '{"x": ' || c_custkey || '}' WHEN 1 THEN '{"notice_required_hours": ' || c_nationkey || '}' ELSE '{}' END AS condition,
+  CASE c_custkey % 3 WHEN 0 THEN '{"discount_fixed": 5}' WHEN 1 THEN CASE WHEN c_acctbal < 0 THEN '{"penalty_fixed": "' || c_name || '"}' ELSE '{"penalty_fixed": 3.5}' END ELSE '{"penalty_fixed": "3"}' END AS action FROM customer),
+f AS (SELECT id, 'condition.' || unnest(json_keys(condition)) AS path, 'extra_forbidden' AS code FROM e WHERE kind = 'discount_rule'
+  UNION ALL SELECT id, 'notice_required_hours', 'missing' FROM e WHERE kind <> 'discount_rule' AND json_extract(condition, '$.notice_required_hours') IS NULL
+  UNION ALL SELECT id, 'penalty_fixed', 'float_type' FROM e WHERE kind <> 'discount_rule' AND json_type(action, '$.penalty_fixed') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE'))
+SELECT e.id, coalesce(string_agg(path || ': ' || code, '|' ORDER BY path || ': ' || code DESC), '') AS errors FROM e LEFT JOIN f USING (id) GROUP BY e.id""")
 def rule_edits(t):
     key = F.col("c_custkey") % 3
+    number = lambda before, c: F.concat(F.lit(before), F.col(c).cast("string"), F.lit("}"))
     kind = F.when(key == 0, "discount_rule").otherwise("cancellation_policy")
-    condition = F.when(key == 0, '{"x": 1}').when(key == 1, '{"notice_required_hours": 24}').otherwise("{}")
-    action = F.when(key == 0, '{"discount_fixed": 5}').when(key == 1, '{"penalty_fixed": 3.5}').otherwise('{"penalty_fixed": "3"}')
+    condition = F.when(key == 0, number('{"x": ', "c_custkey")).when(key == 1, number('{"notice_required_hours": ', "c_nationkey")).otherwise("{}")
+    fixed = F.when(F.col("c_acctbal") < 0, F.concat(F.lit('{"penalty_fixed": "'), F.col("c_name"), F.lit('"}'))).otherwise('{"penalty_fixed": 3.5}')
+    action = F.when(key == 0, '{"discount_fixed": 5}').when(key == 1, fixed).otherwise('{"penalty_fixed": "3"}')
     return t("customer").select(F.col("c_custkey").alias("id"), F.array_join(F.reverse(F.array_sort(P.edit_errors(kind, condition, action))), "|").alias("errors"))

@@ -130,8 +130,8 @@ def idempotent_jobs(t):
 WITH m AS (SELECT max(ts) AS m FROM events) SELECT event_id AS job_id, ts AS created_at FROM events, m WHERE event_type = 'view' AND ts < m - INTERVAL 300 MINUTE""")
 def stale_jobs(t):
     jobs = t("events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), F.when(F.col("event_type") == "view", "queued").otherwise("running").alias("status"))
-    as_of = jobs.agg(F.max("created_at")).first()[0]
-    return R.stale_jobs(jobs, F.lit(as_of), 300).select("job_id", "created_at")
+    as_of = jobs.agg(F.max("created_at").alias("as_of"))  # one row
+    return R.stale_jobs(jobs.crossJoin(F.broadcast(as_of)), F.col("as_of"), 300).select("job_id", "created_at")
 
 
 @query("SELECT p_partkey AS object_id, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
@@ -203,8 +203,8 @@ s AS (SELECT question_id, len(expected) AS n_expected, CASE WHEN len(expected) =
 SELECT question_id, n_expected::INT AS n_expected, recall_at_5, CASE WHEN first_hit IS NOT NULL THEN 1.0::DOUBLE / first_hit WHEN n_expected = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reciprocal_rank FROM s""")
 def recall_mrr(t):
     actual = _ranked(t).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "record_id"))), lambda x: x["record_id"]).alias("actual"))
-    held = F.broadcast(t("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("quote")))
-    hits = t("documents").join(held, F.contains(F.col("text"), F.col("quote"))).groupBy("question_id").agg(F.array_sort(F.collect_list("doc_id")).alias("expected"))
+    held = t("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("quote"))
+    hits = Q.quoted(t("documents"), held).groupBy("question_id").agg(F.array_sort(F.collect_list("doc_id")).alias("expected"))
     empty = F.expr("array() :: array<bigint>")
     rows = held.join(hits, "question_id", "left").join(actual, "question_id", "left").select("question_id", F.coalesce("expected", empty).alias("e"), F.coalesce("actual", empty).alias("a"))
     return rows.select("question_id", F.size("e").alias("n_expected"), Q.recall_at(F.col("e"), F.col("a"), 5).alias("recall_at_5"), Q.reciprocal_rank(F.col("e"), F.col("a")).cast("double").alias("reciprocal_rank"))
