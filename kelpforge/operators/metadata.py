@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,20 @@ STACKED = CODE_LABELS + REVISION_LABELS + STATUS_LABELS
 HEADERS = STACKED + OWNER_LABELS + TITLE_LABELS + OTHER_LABELS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: expressions are written out where they are used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def search_text(text: Column) -> Column:
     """Twice encoded letters repaired, dashes and accented letters plain, other letters beyond ASCII left out."""
-    again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    whole = ~text.rlike(r"[^\x00-\xFF]") & text.rlike(r"[\xC2-\xF4][\x80-\xBF]") & ~again.contains("�")
-    repaired = F.translate(F.when(whole, again).otherwise(text), DASHES, "-" * len(DASHES))
-    return F.regexp_replace(F.translate(repaired, X.ACCENTED, X.PLAIN), r"[^\x00-\x7F]", "")
+
+    def again(t: Column) -> Column:
+        twice = ~t.rlike(r"[^\x00-\xFF]") & t.rlike(r"[\xC2-\xF4][\x80-\xBF]")
+        return F.when(twice, F.make_valid_utf8(F.encode(t, "ISO-8859-1").cast("string")))
+
+    one = let(text, lambda t: F.coalesce(let(again(t), lambda x: F.when(~x.contains("\ufffd"), x)), t))
+    return F.regexp_replace(F.translate(F.translate(one, DASHES, "-" * len(DASHES)), X.ACCENTED, X.PLAIN), r"[^\x00-\x7F]", "")
 
 
 def label(text: Column) -> Column:
@@ -54,19 +64,17 @@ def code_form(code: Column) -> Column:
 
 
 def revision_form(revision: Column) -> Column:
-    upper = F.upper(F.trim(revision))
-    return F.when(upper.rlike(r"^\d+$") & (F.length(upper) < 2), F.lpad(upper, 2, "0")).otherwise(upper)
+    return let(F.upper(F.trim(revision)), lambda upper: F.when(upper.rlike(r"^\d+$") & (F.length(upper) < 2), F.lpad(upper, 2, "0")).otherwise(upper))
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return let(F.regexp_extract(text, pattern, 1), lambda x: F.nullif(x, F.lit("")))
 
 
 def find_code(text: Column, compact: bool) -> Column:
     """The first code of a text, of the named kinds first."""
-    plain = search_text(text)
     kinds = [DOCUMENT_CODE, PROTOCOL_CODE, *([COMPACT_CODE] if compact else [])]
-    return code_form(F.coalesce(*[_found(plain, p) for p in kinds]))
+    return code_form(let(search_text(text), lambda plain: F.coalesce(*[_found(plain, p) for p in kinds])))
 
 
 def code_prefix(code: Column) -> Column:
@@ -75,16 +83,14 @@ def code_prefix(code: Column) -> Column:
 
 def nested_codes(text: Column) -> Column:
     """Whether a text names two or more different codes of kinds that can hold others."""
-    plain = search_text(text)
-    every = F.concat(F.regexp_extract_all(plain, F.lit(DOCUMENT_CODE), 1), F.regexp_extract_all(plain, F.lit(PROTOCOL_CODE), 1))
+    every = let(search_text(text), lambda plain: F.concat(F.regexp_extract_all(plain, F.lit(DOCUMENT_CODE), 1), F.regexp_extract_all(plain, F.lit(PROTOCOL_CODE), 1)))
     codes = F.array_distinct(F.transform(every, code_form))
     return F.size(F.filter(codes, lambda c: code_prefix(c).isin(NESTED_TYPES))) >= 2
 
 
 def status_of(text: Column) -> Column:
     """The status whose marker, in the fixed order, stands in a text."""
-    lower = F.lower(search_text(text))
-    return F.coalesce(*[F.when(F.contains(lower, F.lit(marker)), F.lit(status)) for marker, status in STATUSES.items()])
+    return let(F.lower(search_text(text)), lambda lower: F.coalesce(*[F.when(F.contains(lower, F.lit(marker)), F.lit(status)) for marker, status in STATUSES.items()]))
 
 
 def _first(values: Column, names: list[str]) -> Column:
@@ -104,7 +110,8 @@ def metadata(docs: DataFrame) -> DataFrame:
     parts = F.filter(
         F.transform("_lines", lambda x: F.struct(label(F.regexp_extract(x, LABELED, 1)).alias("k"), F.trim(F.regexp_extract(x, LABELED, 2)).alias("v"))), lambda x: (x["k"] != "") & (x["v"] != "")
     )
-    read = read.withColumn("_pairs", F.map_from_entries(F.transform(F.array_distinct(F.transform(parts, lambda x: x["k"])), lambda k: F.struct(k, F.element_at(F.filter(parts, lambda x: x["k"] == k), -1)["v"]))))
+    pairs = let(parts, lambda found: F.transform(F.array_distinct(F.transform(found, lambda x: x["k"])), lambda k: F.struct(k, F.element_at(F.filter(found, lambda x: x["k"] == k), -1)["v"])))
+    read = read.withColumn("_pairs", F.map_from_entries(pairs))
 
     def below(at: Column) -> Column:
         near = F.filter(F.transform(F.slice(F.arrays_zip(F.col("_lines").alias("l"), F.col("_labels").alias("n")), at + 2, F.lit(7)), lambda x: F.struct(F.trim(x["l"]).alias("l"), x["n"].alias("n"))), lambda x: (x["l"] != "") & ~x["n"].isin(HEADERS))
@@ -115,7 +122,11 @@ def metadata(docs: DataFrame) -> DataFrame:
     fresh = F.transform(F.filter(F.array_distinct(F.transform("_alone", lambda x: x["k"])), lambda k: ~F.map_contains_key("_pairs", k)), lambda k: F.struct(k, F.get(F.filter("_alone", lambda x: x["k"] == k), F.lit(0))["v"]))
     read = read.withColumn("_labeled", F.map_concat("_pairs", F.map_from_entries(fresh)))
 
-    labeled_code = F.coalesce(*[find_code(F.element_at("_labeled", F.lit(name)), True) for name in CODE_LABELS])
+    def of_labels(names: list[str], read_value: Callable[[Column], Column]) -> Column:
+        each = F.transform(F.array(*[F.lit(x) for x in names]), lambda name: read_value(F.element_at("_labeled", name)))
+        return F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0))
+
+    labeled_code = of_labels(CODE_LABELS, lambda x: find_code(x, True))
 
     def window(at: Column) -> Column:
         taken = F.slice("_lines", at + 2, F.lit(11))
@@ -129,11 +140,10 @@ def metadata(docs: DataFrame) -> DataFrame:
     haystack = F.concat(F.coalesce("filename", F.lit("")), F.lit("\n"), F.substring("_text", 1, HEAD_CHARS))
     read = read.withColumns({"_nested": nested_codes(F.col("_text")), "_named": labeled_code, "_near": near_code, "_file": find_code(F.col("filename"), True), "_header": find_code(F.array_join(header, "\n"), False), "_hay": haystack})
     code = F.coalesce("_named", "_near", "_file", F.when(~F.col("_nested"), F.col("_header")))
-    label_revision = F.coalesce(*[_found(F.element_at("_labeled", F.lit(name)), r"(\d{1,3}(?:\.\d{1,3})*)") for name in REVISION_LABELS])
+    label_revision = of_labels(REVISION_LABELS, lambda x: _found(x, r"(\d{1,3}(?:\.\d{1,3})*)"))
     read = read.withColumns({"document_code": code, "revision": revision_form(F.coalesce(label_revision, _found(search_text(F.col("_hay")), REVISION)))})
-    prefix, plain = code_prefix(F.col("document_code")), F.lower(search_text(F.col("_hay")))
-    by_code = F.coalesce(F.element_at(X.named(TYPES), prefix), F.when(~prefix.rlike(r"\d"), prefix))
-    by_text = F.coalesce(*[F.when(F.contains(plain, F.lit(phrase)), F.lit(kind)) for phrase, kind in PHRASES.items()])
+    by_code = let(code_prefix(F.col("document_code")), lambda prefix: F.coalesce(F.element_at(X.named(TYPES), prefix), F.when(~prefix.rlike(r"\d"), prefix)))
+    by_text = let(F.lower(search_text(F.col("_hay"))), lambda plain: F.coalesce(*[F.when(F.contains(plain, F.lit(phrase)), F.lit(kind)) for phrase, kind in PHRASES.items()]))
     gaps = F.array_compact(F.array(F.when(F.col("document_code").isNull(), "missing_document_code"), F.when(F.col("document_code").isNull() & F.col("_nested"), "ambiguous_nested_document_codes"), F.when(F.col("revision").isNull(), "missing_revision")))
     return read.select(
         *docs.columns, "document_code", F.coalesce(by_code, by_text).alias("document_type"), _first(F.col("_labeled"), TITLE_LABELS).alias("title"), "revision",
