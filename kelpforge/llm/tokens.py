@@ -72,7 +72,7 @@ class WordEncoder:
     in a table, which is emptied when parts and ids hold about ``limit`` bytes, the objects' own ones included.
     """
 
-    def __init__(self, path: str, limit: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 56 << 20):
         self._encode = plain_encoder(path)
         self._known: dict[str, bytes] = {}
         self._held, self._limit = 0, limit
