@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import payloads as P
 from .registry import query
 
@@ -81,13 +82,17 @@ def payload_checks(t):
     return judged.select("id", "fact_type", (F.size("errors") == 0).alias("valid"), F.array_join("errors", "|").alias("errors"))
 
 
-_READ = {1: ("price_amount", "1250.5"), 9: ("open_time", "09:00"), 13: ("action.discount_percentage", "10.5"), 17: ("penalty_percentage", "50.0")}
-_MORE = {9: ("close_time", "18:00"), 13: ("action.discount_fixed", "5.0"), 17: ("penalty_fixed", "30.0")}
+_READS = ", ".join(f"('{kind}', '{path}', '{form}')" for form, fields in (("money", P.MONEY_FIELDS), ("percent", P.PERCENT_FIELDS), ("time", P.TIME_FIELDS)) for kind, paths in fields.items() for path in paths)
 
 
-@query(f"""
-WITH {CASES_SQL}, m AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{a}', '{b}')" for d in (_READ, _MORE) for k, (a, b) in d.items())}) AS x(k, path, value))
-SELECT id, path, value FROM rows_ JOIN m USING (k)""")
+@query(rf"""
+WITH {CASES_SQL}, f AS (SELECT id, path, form, lower(trim(json_extract_string(doc, '$.' || path))) AS s FROM rows_ JOIN (VALUES {_READS}) AS x(fact_type, path, form) USING (fact_type) WHERE json_type(doc, '$.' || path) = 'VARCHAR'),
+v AS (SELECT id, path, CASE form
+  WHEN 'money' THEN CASE WHEN regexp_matches(s, '\d') THEN (replace(regexp_extract(s, '{V.MONEY}', 1), '.', '') || '.' || coalesce(nullif(regexp_extract(s, '{V.MONEY}', 2), ''), '00'))::DOUBLE::VARCHAR END
+  WHEN 'percent' THEN CASE WHEN regexp_matches(replace(s, ',', '.'), '{V.PERCENT}') THEN regexp_extract(replace(s, ',', '.'), '{V.PERCENT}', 1)::DOUBLE::VARCHAR END
+  ELSE CASE s {' '.join(f"WHEN '{word}' THEN '{value}'" for word, value in V.VAGUE_TIMES.items())} ELSE CASE WHEN regexp_matches(s, '{V.TIME}') THEN
+    lpad(regexp_extract(s, '{V.TIME}', 1), 2, '0') || ':' || lpad(regexp_extract(s, '{V.TIME}', 2), 2, '0') END END END AS value FROM f)
+SELECT id, path, value FROM v WHERE value IS NOT NULL""")
 def payload_normalised(t):
     made = _cases(t).select("id", F.explode(P.normalised(F.col("fact_type"), F.col("payload"))).alias("path", "value"))
     return made
