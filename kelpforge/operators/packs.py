@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
 from ..functions.values import stable_uuid
 
 # Fixed values.
@@ -23,7 +24,7 @@ SECRET = r"(?i)sk-[A-Za-z0-9]{20,}|Bearer\s+[A-Za-z0-9._-]{20,}"
 def safe_quote(text: Column) -> Column:
     """At most so many characters, private paths and secrets replaced; null if nothing is left."""
     cut = F.regexp_replace(F.regexp_replace(F.substring(text, 1, MAX_QUOTE), PRIVATE_PATH, "[REDACTED_PATH]"), SECRET, "[REDACTED_SECRET]")
-    return F.nullif(F.trim(cut), F.lit(""))
+    return F.nullif(trimmed(cut), F.lit(""))
 
 
 def evidence_of_rows(rows: DataFrame) -> DataFrame:
