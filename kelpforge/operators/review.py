@@ -38,9 +38,16 @@ def metadata_packets(gaps: DataFrame) -> DataFrame:
     return _packets(gaps.where(reason.isNotNull()), reason, code, code)
 
 
-def section_packets(spans: DataFrame) -> DataFrame:
-    """Of section spans with a risk: one packet a risk."""
-    return _packets(spans.where("risk <> ''"), F.lit("ambiguous_section_hierarchy"), F.col("risk"), F.col("risk"), F.col("section_path"), F.col("page_number"))
+def section_packets(spans: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One packet a risk, of section spans that have one and of ``documents`` (``doc_id, risk``) whose diagnostics name one.
+
+    A risk of a document that some span has, too, is told by those spans; else the packet rests on the risk alone.
+    """
+    risky = spans.where("risk <> ''").select("doc_id", "risk", "section_path", "page_number")
+    if documents is not None:
+        named = documents.select("doc_id", "risk").where("risk <> ''").distinct().join(risky.select("doc_id", "risk").distinct(), ["doc_id", "risk"], "left_anti")
+        risky = risky.unionByName(named, allowMissingColumns=True)
+    return _packets(risky, F.lit("ambiguous_section_hierarchy"), F.col("risk"), F.col("risk"), F.col("section_path"), F.col("page_number"))
 
 
 def semantic_packets(found: DataFrame) -> DataFrame:
