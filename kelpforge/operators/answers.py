@@ -25,19 +25,19 @@ def matched_kinds(terms: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.arrays_overlap(terms, X.literals(words)), F.lit(kind)) for kind, words in X.INTENT_TERMS.items()]))
 
 
-def relevant_pairs(questions: DataFrame, records: DataFrame) -> DataFrame:
+def relevant_pairs(questions: DataFrame, records: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """Each question with its relevant records and what they are ranked by.
 
     ``question_id, question`` and ``id, kind, text, entity, ...`` in. A pair meets by an equality join on a shared term or on
     the kind that the question asks for, so no question is held against all records; a record that names other entities
-    than the question is left out. Ids are taken to be unique; a question without terms has no pairs.
+    than the question is left out. ``key`` is taken to be unique among the records; a question without terms has no pairs.
     """
     asked = questions.withColumn("_asked", X.terms(F.col("question"))).withColumn("_wanted", X.entity_terms(F.col("_asked")))
     held = records.withColumn("_own", X.terms(F.col("text"))).withColumn("_named", X.terms(F.coalesce("entity", F.lit(""))))
-    by_term = asked.select("question_id", F.explode("_asked").alias("key")).join(held.select("id", F.explode("_own").alias("key")), "key")
-    by_kind = asked.select("question_id", F.explode(matched_kinds(F.col("_asked"))).alias("key")).join(held.select("id", F.col("kind").alias("key")), "key")
-    pairs = by_term.select("question_id", "id").union(by_kind.select("question_id", "id")).distinct()
-    both = pairs.join(held, "id").join(asked.select("question_id", "_asked", "_wanted"), "question_id")
+    by_term = asked.select("question_id", F.explode("_asked").alias("key")).join(held.select(*key, F.explode("_own").alias("key")), "key")
+    by_kind = asked.select("question_id", F.explode(matched_kinds(F.col("_asked"))).alias("key")).join(held.select(*key, F.col("kind").alias("key")), "key")
+    pairs = by_term.select("question_id", *key).union(by_kind.select("question_id", *key)).distinct()
+    both = pairs.join(held, [*key]).join(asked.select("question_id", "_asked", "_wanted"), "question_id")
     special = X.entity_terms(F.col("_named"))
     mismatch = (F.size(special) > 0) & (F.size("_wanted") > 0) & ~F.arrays_overlap(special, "_wanted")
     scores = {"entity_matches": F.size(F.array_intersect("_wanted", "_named")), "intent": X.intent_matched(F.col("kind"), F.col("_asked")).cast("int"), "lexical": F.size(F.array_intersect("_asked", "_own"))}
@@ -46,8 +46,12 @@ def relevant_pairs(questions: DataFrame, records: DataFrame) -> DataFrame:
 
 def ranked_context(questions: DataFrame, records: DataFrame, most: int) -> DataFrame:
     """The first ``most`` facts and the first ``most`` rules of each question, ``rank`` counting facts before rules."""
-    own = Window.partitionBy("question_id", "record_class").orderBy(*Q.ranking())
-    cut = relevant_pairs(questions, records).withColumn("_place", F.row_number().over(own)).where(F.col("_place") <= most)
+    return _cut(relevant_pairs(questions, records), most, "record_class")
+
+
+def _cut(pairs: DataFrame, most: int, *classes: str) -> DataFrame:
+    own = Window.partitionBy("question_id", *classes).orderBy(*Q.ranking())
+    cut = pairs.withColumn("_place", F.row_number().over(own)).where(F.col("_place") <= most)
     return cut.withColumn("rank", F.col("_place") + F.when(F.col("record_class") == "rule", most).otherwise(0)).drop("_place")
 
 
@@ -66,25 +70,26 @@ def answers(questions: DataFrame, records: DataFrame, contradictions: DataFrame,
 
     Records are those of published sources with ``record_class, status, rendered, tokens``; only published ones answer,
     pending ones and open unknowns ask for validation. A contradiction ``record_ids, source_ids, status`` that blocks and
-    names a ranked record stops the answer. Within the budget records are taken greedily, facts before rules. A question
+    names a ranked record stops the answer. All kinds of records meet the questions in one pass. Within the budget records are taken greedily, facts before rules. A question
     gathers at most two times ``most`` records.
     """
-    ranked = ranked_context(questions, records.where("status = 'published'"), most)
-    blocked = contradictions.where(F.col("status").isin(BLOCKING)).select(F.explode("record_ids").alias("id"), "contradiction_id", "source_ids")
-    conflicts = ranked.join(blocked, "id").select("question_id", "contradiction_id", "source_ids").distinct().groupBy("question_id").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("contradiction_id", "source_ids"))), lambda x: x["source_ids"]))).alias("conflict_sources"))
-    item = F.struct("rank", "id", "record_class", "source_id", "confidence", "rendered", "tokens")
-    folded = ranked.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    side = F.when(F.col("status") == "published", "published").when(F.col("status").isin(PENDING), "pending")
+    known = records.withColumn("_side", side).where("_side IS NOT NULL").unionByName(unknowns.where("status = 'open'").withColumn("_side", F.lit("open")), allowMissingColumns=True)
+    ranked = _cut(relevant_pairs(questions, known, ("_side", "id")), most, "_side", "record_class")
+    told = F.array_sort(F.collect_set(F.struct("contradiction_id", "source_ids")))
+    blocked = contradictions.where(F.col("status").isin(BLOCKING)).select(F.explode("record_ids").alias("id"), "contradiction_id", "source_ids").groupBy("id").agg(told.alias("_told")).withColumn("_side", F.lit("published"))
+    item = F.when(F.col("_side") == "published", F.struct("rank", "id", "record_class", "source_id", "confidence", "rendered", "tokens"))
+    met = ranked.join(blocked, ["_side", "id"], "left").groupBy("question_id")
+    folded = met.agg(F.array_sort(F.collect_list(item)).alias("_all"), F.bool_or(F.col("_side") != "published").alias("_waits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_told")))).alias("_told"))
     begin = F.struct(F.lit(0).cast("long").alias("used"), F.filter("_all", lambda x: F.lit(False)).alias("taken"))
 
     def step(acc, x):
         total = acc["used"] + x["tokens"]
         return F.when(total <= budget, F.struct(total.alias("used"), F.concat(acc["taken"], F.array(x)).alias("taken"))).otherwise(acc)
 
-    fitted = folded.select("question_id", "_all", F.aggregate("_all", begin, step).alias("_fit"))
-    pending = relevant_pairs(questions, records.where(F.col("status").isin(PENDING))).select("question_id")
-    open_ = relevant_pairs(questions, unknowns.where("status = 'open'")).select("question_id")
-    waiting = pending.union(open_).distinct().withColumn("_waits", F.lit(True))
-    joined = questions.select("question_id").join(fitted, "question_id", "left").join(conflicts, "question_id", "left").join(waiting, "question_id", "left")
+    sources = F.when(F.size("_told") > 0, F.array_distinct(F.flatten(F.transform("_told", lambda x: x["source_ids"]))))
+    fitted = folded.select("question_id", "_all", F.nullif("_waits", F.lit(False)).alias("_waits"), sources.alias("conflict_sources"), F.aggregate("_all", begin, step).alias("_fit"))
+    joined = questions.select("question_id").join(fitted, "question_id", "left")
     taken = F.col("_fit.taken")
     n_all, n_fit = F.coalesce(F.size("_all"), F.lit(0)), F.coalesce(F.size(taken), F.lit(0))
     counts = {"candidates": F.greatest(n_all, F.lit(0)), "fitting": F.greatest(n_fit, F.lit(0)), "conflicts": F.col("conflict_sources").isNotNull().cast("int"), "pending": F.col("_waits").isNotNull().cast("int")}

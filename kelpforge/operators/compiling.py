@@ -100,9 +100,9 @@ def _cleaned() -> Column:
 
 
 def _chosen(keys: list[str], otherwise: str) -> Column:
-    """JSON of those keys that have a value, or of all data under ``otherwise`` if none has."""
-    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), T.redacted(_first([k])).alias("value")) for k in keys]), lambda x: x["value"] != "")
-    return F.when(F.size(pairs) > 0, F.to_json(F.map_from_entries(pairs))).otherwise(F.to_json(F.struct(_cleaned().alias(otherwise))))
+    """JSON of those keys that have a value in the column ``cleaned``, or of all of it under ``otherwise`` if none has."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.try_element_at("cleaned", F.lit(k)).alias("value")) for k in keys]), lambda x: x["value"] != "")
+    return F.when(F.size(pairs) > 0, F.to_json(F.map_from_entries(pairs))).otherwise(F.to_json(F.struct(F.col("cleaned").alias(otherwise))))
 
 
 def record_name() -> Column:
@@ -197,7 +197,7 @@ def rules(links: DataFrame, sections: DataFrame, roles: Roles | None = None) ->
     """``id, rule_type, condition, action, priority, confidence, source_id, evidence_id``, numbered through all rule files."""
     roles = roles or Roles()
     files = list(roles.rules)
-    of_rows = links.where(F.col("filename").isin(files)).select(
+    of_rows = links.where(F.col("filename").isin(files)).withColumn("cleaned", _cleaned()).select(
         "filename", F.col("row_number").cast("long").alias("place"), record_name().alias("name"), _chosen(CONDITION_KEYS, "match").alias("condition"), _chosen(ACTION_KEYS, "apply").alias("action"), F.lit(0.9).alias("confidence"), "evidence_id"
     )
     text = evidence_sections(sections.where(F.col("filename").isin(files))).withColumn("title", quoted_heading(F.col("quote"))).where("title <> ''")
