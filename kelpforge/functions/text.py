@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +56,9 @@ STATUS_ALIASES = {
 }
 QUOTE_LETTERS = ("‘’‚‛′“”„‟″«»", "'''''\"\"\"\"\"\"\"")
 
+#: What Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 ALL_INTENT_TERMS = sorted({x for terms in INTENT_TERMS.values() for x in terms})
 
 
@@ -88,9 +92,14 @@ def composed(text: Column) -> Column:
     return F.when(text.rlike("[\\x{300}-\\x{36f}]"), F.aggregate(pairs, text, lambda t, p: F.replace(t, p[0], p[1]))).otherwise(text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: expressions are written out where they are used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at either end, of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))  # looks at the ends only, which a regular expression does not
 
 
 def fold(text: Column) -> Column:
@@ -130,13 +139,28 @@ def identifier(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(parted), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def _sensitive_hint() -> str:
+    parts = [*SENSITIVE_TOKENS, *[x.split("_")[0] for x in SENSITIVE_PHRASES]]
+    heads = "|".join(f"{c}(?:{'|'.join(sorted({x[1:] for x in parts if x[0] == c}))})" for c in sorted({x[0] for x in parts}))
+    apart = "|".join("[^a-z0-9]*".join(x.replace("_", "")) for x in SENSITIVE_PHRASES)  # a line that is a phrase letter by letter
+    return f"{heads}|^[^a-z0-9]*+(?:{apart})[^a-z0-9]*$"
+
+
+#: What every folded text has whose identifier names something sensitive; one pass tells which texts need to be made identifiers.
+SENSITIVE_HINT = _sensitive_hint()
+
+
 def names_sensitive(ident: Column) -> Column:
     """Whether an identifier holds a sensitive word, or is or holds a sensitive phrase."""
-    hit = F.arrays_overlap(F.split(ident, "_"), literals(SENSITIVE_TOKENS))
-    compact = F.regexp_replace(ident, "_", "")
-    for phrase in SENSITIVE_PHRASES:
-        hit = hit | F.contains(ident, F.lit(phrase)) | (compact == phrase.replace("_", ""))
-    return hit
+
+    def named_in(x: Column) -> Column:
+        hit = F.arrays_overlap(F.split(x, "_"), literals(SENSITIVE_TOKENS))
+        compact = F.replace(x, F.lit("_"), F.lit(""))
+        for phrase in SENSITIVE_PHRASES:
+            hit = hit | F.contains(x, F.lit(phrase)) | (compact == phrase.replace("_", ""))
+        return hit
+
+    return let(ident, named_in)
 
 
 def public_quote(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.text import let
 
 # Fixed values (patterns, labels and aliases that results depend on).
 DOCUMENT_CODE = r"(?i)\b((?:POP|IT|MAN|MANUAL|POL|FOR|FRM|REG|ESP|SPEC|FAQ)(?:[ .-][A-Z]{1,8}){0,3}[ .-]\d{1,4})\b"
@@ -37,11 +38,6 @@ STACKED = CODE_LABELS + REVISION_LABELS + STATUS_LABELS
 HEADERS = STACKED + OWNER_LABELS + TITLE_LABELS + OTHER_LABELS
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it: expressions are written out where they are used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def search_text(text: Column) -> Column:
     """Twice encoded letters repaired, dashes and accented letters plain, other letters beyond ASCII left out."""
 

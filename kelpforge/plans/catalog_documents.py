@@ -320,8 +320,10 @@ SELECT doc_id, k::INT AS line_index, ident FROM i WHERE list_has_any(string_spli
   OR replace(ident, '_', '') IN ('supplierprice', 'internalnotes', 'apikey')""")
 def sensitive_lines(t):
     # Lines are folded to lower case first, so that the rule for camelCase, which SQL here cannot express, stays out.
-    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_index", "s"))
-    return lines.select("doc_id", "line_index", X.identifier(F.lower("s")).alias("ident")).where(X.names_sensitive(F.col("ident")))
+    lines = t("documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_index", "s"))
+    folded = F.when(F.col("s").rlike(r"[^\x00-\x7F]"), X.fold(F.col("s"))).otherwise(F.col("s"))  # signs beyond ASCII alone need folding
+    hinted = lines.where(folded.rlike(X.SENSITIVE_HINT))
+    return hinted.select("doc_id", "line_index", X.identifier(F.col("s")).alias("ident")).where(X.names_sensitive(F.col("ident")))
 
 
 @query(f"""
