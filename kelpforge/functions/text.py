@@ -107,6 +107,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED + MARKS, PLAIN)  # what has no counterpart is dropped
 
 
+def fold_value(text: Column) -> Column:
+    """``fold`` of a column: it costs a look at each sign, so signs of ASCII alone are only put in lower case."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), fold(text)).otherwise(F.lower(text))
+
+
 def words(text: Column) -> Column:
     """Runs of letters, digits and underscores of the folded text."""
     return F.filter(F.split(fold(text), "[^a-zA-Z0-9_]+"), lambda x: x != "")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.stored import stored
 from . import documents as D
 
 # Fixed values.
@@ -40,19 +41,22 @@ def source_lines(docs: DataFrame) -> DataFrame:
 
 def qms_key(line: Column) -> Column:
     """A heading's name without accents, case and the signs around it."""
-    return F.regexp_replace(F.regexp_replace(X.fold(line), r"^[ :.\-]+|[ :.\-]+$", ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(X.fold_value(line), r"^[ :.\-]+|[ :.\-]+$", ""), r"\s+", " ")
 
 
 def headings(lined: DataFrame) -> DataFrame:
     """``lined`` (``doc_id, page_number, line_index, line``) cut to its section headings, with ``label, title, level, path, gap``.
 
     A numbered heading lies below those of lower levels since the last fixed heading. A level's ancestor is there if the
-    latest heading up to that level has just that level; where one is missing the path is the label alone.
+    latest heading up to that level has just that level; where one is missing the path is the label alone. Headings are
+    found in one pass over the lines and stored, since ancestors are looked for among them.
     """
     order = Window.partitionBy("doc_id").orderBy("page_number", "line_index")
-    label, key = F.regexp_extract("line", D.SECTION, 1), qms_key(F.col("line"))
-    level = F.when(label != "", F.size(F.split(label, r"\."))).when(key.isin(D.QMS_HEADINGS), 0)
-    found = lined.withColumn("level", level).where("level IS NOT NULL").withColumn("label", F.when(F.col("level") > 0, label).otherwise(key))
+    number = F.when(F.col("line").rlike(r"^\d"), F.nullif(F.regexp_extract("line", D.SECTION, 1), F.lit("")))
+    key = qms_key(F.col("line"))
+    label = F.coalesce(number, F.when(key.isin(D.QMS_HEADINGS), key))
+    level = F.when(F.col("label").rlike(r"^\d"), F.size(F.split("label", r"\."))).otherwise(0)
+    found = stored(lined.withColumn("label", label).where("label IS NOT NULL").withColumn("level", level), "headings")
     epoch = F.sum((F.col("level") == 0).cast("int")).over(order)
     named = found.withColumns({"epoch": epoch, "title": F.when(F.col("level") > 0, X.trimmed(F.regexp_extract("line", D.SECTION, 2))).otherwise(F.col("line"))})
     deep = named.where("level > 1")  # only they can lack an ancestor; every heading may be one, of its own level or any below

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import documents as D
 from ..operators import spans as S
+from ..sources.stored import stored
 from .registry import query
 
 #: The pages of each document, as SQL: ten lines each.
@@ -249,7 +250,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1)::
   text, length(text)::INT AS char_count, length(text) // 4 AS token_estimate, sha256(text) AS chunk_hash FROM merged""")
 def industrial_chunks(t):
     """Chunks by section; even documents give their spans under earlier names, two thirds without an end, some without a title."""
-    lined = _manual(t)
+    lined = stored(_manual(t), "lined")
     even, k = F.col("doc_id") % 2 == 0, (F.col("page_number") - 1) * 10 + F.col("line_index")
     spans = S.section_spans(lined.drop("k"))
     raw = spans.select(
@@ -257,7 +258,7 @@ def industrial_chunks(t):
         F.when(~even & (k % 44 != 10), F.col("section_title")).alias("section_title"), F.when(k % 44 != 10, F.col("section_title")).alias("title"),
         F.when(F.col("label").rlike("^[0-9]"), S.NUMBERED_KIND).otherwise(S.QMS_KIND).alias("kind"), F.array("risk", "risk").alias("risk_codes"),
     )
-    return S.industrial_chunks(lined.drop("k"), S.normalized_spans(raw), S.boilerplate_places(lined))
+    return S.industrial_chunks(lined.drop("k"), stored(S.normalized_spans(raw), "spans"), stored(S.boilerplate_places(lined), "boilerplate"))
 
 
 @query(rf"""
@@ -282,6 +283,7 @@ def structure_hints(t):
     """Hints with their places; ``quote`` is cut out of the text at that place."""
     line = F.when(F.col("k") % 7 == 3, F.concat(F.lit("  "), F.col("line"))).otherwise(F.col("line"))
     texts = _manual(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    texts = stored(texts, "texts")
     hints = S.structure_hints(texts)
     cut = F.substr("text", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int"))
     return hints.join(texts, "doc_id").withColumn("quote", cut).drop("text")
@@ -321,8 +323,7 @@ SELECT doc_id, k::INT AS line_index, ident FROM i WHERE list_has_any(string_spli
 def sensitive_lines(t):
     # Lines are folded to lower case first, so that the rule for camelCase, which SQL here cannot express, stays out.
     lines = t("documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_index", "s"))
-    folded = F.when(F.col("s").rlike(r"[^\x00-\x7F]"), X.fold(F.col("s"))).otherwise(F.col("s"))  # signs beyond ASCII alone need folding
-    hinted = lines.where(folded.rlike(X.SENSITIVE_HINT))
+    hinted = lines.where(X.fold_value(F.col("s")).rlike(X.SENSITIVE_HINT))
     return hinted.select("doc_id", "line_index", X.identifier(F.col("s")).alias("ident")).where(X.names_sensitive(F.col("ident")))
 
 

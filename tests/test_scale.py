@@ -32,3 +32,12 @@ def test_sensitive_lines_need_few_identifiers(spark, tmp_path):
     want = sorted((r.k, r.i) for r in plain.where(X.names_sensitive(F.col("i"))).collect())
     assert sorted((r.line_index, r.ident) for r in frame.collect()) == want and len(want) > 9
     assert plan_of(frame).count("[^a-z0-9]+") <= 2  # in the filter and in the result; before, once for each word looked for
+
+
+def sources(frame):
+    return sum("documents.parquet" in x for x in frame.inputFiles())
+
+
+def test_spans_read_stored_lines(spark):
+    assert sources(plans.QUERIES["industrial_chunks"](spark, SF)) == 0  # lines, spans and boilerplate are worked out once
+    assert sources(plans.QUERIES["structure_hints"](spark, SF)) == 0
