@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import dealt
+
 # The keys that come first in a canonical text, in this order.
 PREFERRED = [
     "canonical", "service_name", "service", "name", "amount", "price", "currency", "value", "method", "channel", "weekday", "day", "open_time", "close_time", "condition", "action", "discount", "text",
@@ -29,7 +31,7 @@ def leaves(rows: DataFrame, text: str, *, arrays: bool = True) -> DataFrame:
     ``value`` is a variant. Without ``arrays`` these are leaves, too. Empty objects and arrays have no leaves; null text and what is no
     JSON give no rows.
     """
-    rest = [c for c in rows.columns if c != text]
+    rest, rows = [c for c in rows.columns if c != text], dealt(rows)
     levels = rows.agg(F.max(depth(F.col(text))).alias("n")).first()["n"] or 0
     none = F.array().cast("array<string>")
     out = rows.select(*rest, F.lit("").alias("path"), none.alias("place"), F.try_parse_json(text).alias("value")).where("value IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Rows that several parts of a plan read, worked out once."""
+"""Rows that several parts of a plan read, worked out once; rows dealt over all cores before costly work."""
 
 from __future__ import annotations
 
@@ -14,3 +14,8 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores, for costly work on narrow ones: Spark cuts files by size, and a small file of many rows is one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
