@@ -41,3 +41,10 @@ def sources(frame):
 def test_spans_read_stored_lines(spark):
     assert sources(plans.QUERIES["industrial_chunks"](spark, SF)) == 0  # lines, spans and boilerplate are worked out once
     assert sources(plans.QUERIES["structure_hints"](spark, SF)) == 0
+
+
+def test_narrow_rows_are_dealt_over_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("document_metadata", "json_leaves"):
+        frame = plans.QUERIES[name](spark, SF)  # of a file that Spark reads in one task
+        assert frame.select(F.spark_partition_id().alias("p")).distinct().count() >= cores
