@@ -124,10 +124,7 @@ def choices(n: np.ndarray, met: np.ndarray, row: np.ndarray, first: np.ndarray)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, sets: np.ndarray, words: int) -> DataFrame:
-    """``token, class, n, place, asked``: the prefix of each set that the task meets for the first time.
-
-    ``place`` is the token's place in the common order of its set.
-    """
+    """``class, n, asked, tokens``: the prefix of each set that the task meets for the first time, in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -146,11 +143,13 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, sets: np.ndarray, words: int
             asked = choices(n, met - 1, row, first)
             place = np.arange(len(row)) - first[row]
             within = place < (n - least_shared(n) + asked)[row]
-            row, place = row[within], place[within]
-            columns = [pa.array(token[within].view(np.int64)), pa.array(classes[row]), *[pa.array(x.astype(np.int32)) for x in (n[row], place, asked[row])]]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "class", "n", "place", "asked"])
+            new = n > 0
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[within], minlength=batch.num_rows)[new])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(token[within].view(np.int64)))
+            columns = [pa.array(classes[new]), *[pa.array(x[new].astype(np.int32)) for x in (n, asked)], lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "asked", "tokens"])
 
-    return docs.mapInArrow(run, "token long, class long, n int, place int, asked int")
+    return docs.mapInArrow(run, "class long, n int, asked int, tokens array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -174,13 +173,13 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return 9 * shared >= 4 * (n + m)
 
 
-def _counted(pairs: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFrame:
+def _counted(pairs: DataFrame, reach: DataFrame, wanted: DataFrame) -> DataFrame:
     """The pairs that share as many tokens of their whole prefixes as they must.
 
     What two sets share beyond these tokens lies in the rest of the one whose prefix ends first in the common order, so it is
     no more than the longer of their rests.
     """
-    held = postings.join(wanted, "class").groupBy("class").agg(F.collect_set("token").alias("own"), F.min("n").alias("n"), F.min("asked").alias("asked"))
+    held = join_few(reach, wanted, "class", "inner").groupBy("class").agg(F.first("tokens").alias("own"), F.min("n").alias("n"), F.min("asked").alias("asked"))
     held = held.withColumn("rest", F.expr("(4 * (n + (4 * n + 4) DIV 5) + 8) DIV 9 - asked"))
     for end in ("a", "b"):
         pairs = pairs.join(held.select(F.col("class").alias(end), *[F.col(x).alias(f"{end}_{x}") for x in ("own", "n", "rest")]), end)
@@ -188,18 +187,19 @@ def _counted(pairs: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFr
     return pairs.where(F.size(F.array_intersect("a_own", "b_own")) >= least).select("a", "b")
 
 
-def _verified(pairs: DataFrame, postings: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _verified(pairs: DataFrame, reach: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs ``a, b`` whose sets are alike: by their prefixes first, then by the exact intersection of the sets of those left."""
     ends = lambda rows: rows.select(F.col("a").alias("class")).union(rows.select("b")).distinct()
     first = materialize(pairs, "pairs")
-    pairs = materialize(_counted(first, postings, ends(first)), "pairs")
+    judged = materialize(ends(first), "judged")
+    pairs = materialize(_counted(first, reach, judged), "pairs")
     wanted = materialize(ends(pairs), "wanted")
     met = join_few(_sets(docs, words), wanted, "class", "inner")
     sets = materialize(met.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
     left = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.col("tokens").alias("a_set"))
     both = pairs.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_set")), "b").join(left, "a")
     links = materialize(both.where(_alike(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"))).select("a", "b"), "links")
-    discard(first, pairs, wanted, sets)
+    discard(first, judged, pairs, wanted, sets)
     return links
 
 
@@ -249,15 +249,16 @@ def shingle_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked, frequent, sets = _marked(own, words)
     reach = materialize(prefixes(own, frequent, sets, words), "prefixes")
-    shared = materialize(reach.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared-tokens")
-    postings = materialize(join_few(reach, shared, "token", "inner").dropDuplicates(["token", "class"]), "postings")
-    discard(reach, shared)
-    links = _verified(_earliest(postings), postings, own, words)
+    placed = reach.select("class", "n", "asked", F.posexplode("tokens").alias("place", "token"))  # ``place``: in the common order of its set
+    shared = materialize(placed.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared-tokens")
+    postings = materialize(join_few(placed, shared, "token", "inner").dropDuplicates(["token", "class"]), "postings")
+    discard(shared)
+    links = _verified(_earliest(postings), reach, own, words)
     roots = materialize(connected_components(links), "roots")
-    more = _verified(_apart(postings, roots), postings, own, words)
+    more = _verified(_apart(postings, roots), reach, own, words)
     if not more.isEmpty():
         roots = materialize(connected_components(links.union(more)), "roots")
-    discard(postings)
+    discard(reach, postings)
     nodes = marked.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     linked = nodes.join(roots.withColumnRenamed("node", "class"), "class")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
