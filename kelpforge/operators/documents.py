@@ -56,8 +56,8 @@ def pages(docs: DataFrame, lines_each: int = 10) -> DataFrame:
     """``doc_id, page_number, text``: texts dealt into pages of so many lines, numbered from 1."""
     lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
     last = ((F.size("lines") - 1) / lines_each).cast("int")
-    numbered = lines.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), last)).alias("page"))
-    return numbered.select("doc_id", (F.col("page") + 1).alias("page_number"), F.array_join(F.slice("lines", F.col("page") * lines_each + 1, F.lit(lines_each)), "\n").alias("text"))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k + 1).alias("page_number"), F.array_join(F.slice("lines", k * lines_each + 1, F.lit(lines_each)), "\n").alias("text")))
+    return lines.select("doc_id", F.inline(cut))  # no page carries the lines of its whole document
 
 
 def lines(paged: DataFrame) -> DataFrame:
@@ -150,9 +150,9 @@ def sheet_blocks(rows: DataFrame, size: int = SHEET_ROWS) -> DataFrame:
 
 
 def is_table_line(line: Column) -> Column:
-    """Two pipes, or three columns two blanks apart."""
+    """Two pipes, or three columns two blanks apart; a line without two blanks is not cut into columns."""
     columns = F.size(F.filter(F.split(F.trim(line), r"\s{2,}"), lambda x: x != ""))
-    return (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2) | (columns >= 3)
+    return (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2) | (line.rlike(r"\s\s") & (columns >= 3))
 
 
 def page_profiles(paged: DataFrame, images: Column | None = None) -> DataFrame:

@@ -47,20 +47,22 @@ def quoted(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """
     own = candidates.withColumn("_n", F.monotonically_increasing_id())
     span = pages.groupBy("doc_id").agg(F.min("page_number").alias("_least"), F.max("page_number").alias("_most"))
-    placed = own.join(pages.select("doc_id", F.col("page_number").alias("page_start"), F.col("text").alias("_page")), ["doc_id", "page_start"], "left").join(span, "doc_id", "left")
     quote = X.trimmed(F.col("quote"))
+    met = own.join(pages.select("doc_id", F.col("page_number").alias("page_start"), F.col("text").alias("_page")), ["doc_id", "page_start"], "left")
+    placed = met.withColumn("_here", F.contains(F.col("_page"), quote)).drop("_page").join(span, "doc_id", "left")  # no page goes through a second shuffle
     anywhere = own.where("page_start IS NULL").join(pages.select("doc_id", F.col("text").alias("_any")), "doc_id").where(F.contains(F.col("_any"), quote)).select("_n").distinct().withColumn("_met", F.lit(True))
     joined = placed.join(anywhere, "_n", "left")
-    held = F.coalesce(F.when(F.col("page_start").isNull(), F.col("_met")).otherwise(F.contains(F.col("_page"), quote)), F.lit(False))
+    held = F.coalesce(F.when(F.col("page_start").isNull(), F.col("_met")).otherwise(F.col("_here")), F.lit(False))
     first, last = F.col("page_start"), F.col("page_end")
     some = first.isNotNull() | last.isNotNull()
     within = F.coalesce((first <= last) & (first >= F.col("_least")) & (last <= F.col("_most")), F.lit(False))
-    return joined.withColumns({"unquoted": ~F.col("kind").isin(GENERATED) & (_blank(F.col("quote")) | ~held), "misplaced": some & ~within}).drop("_n", "_page", "_least", "_most", "_met")
+    return joined.withColumns({"unquoted": ~F.col("kind").isin(GENERATED) & (_blank(F.col("quote")) | ~held), "misplaced": some & ~within}).drop("_n", "_here", "_least", "_most", "_met")
 
 
 def changed(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``keys, changed``: rows that only one side has, or whose ``columns`` differ."""
-    here = lambda rows, side: rows.select(*keys, F.struct(*columns).alias(side))
+    """``keys, changed``: rows that only one side has, or whose ``columns`` differ. Texts meet as their SHA-256."""
+    mark = lambda rows, c: F.sha2(c, 256).alias(c) if rows.schema[c].dataType.typeName() == "string" else F.col(c)
+    here = lambda rows, side: rows.select(*keys, F.struct(*[mark(rows, c) for c in columns]).alias(side))
     both = here(before, "_before").join(here(after, "_after"), keys, "full_outer")
     return both.select(*keys, (~F.col("_before").eqNullSafe(F.col("_after"))).alias("changed"))
 

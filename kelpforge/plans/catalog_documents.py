@@ -129,9 +129,9 @@ profiles AS (SELECT * EXCLUDE (text), concat_ws(',', CASE WHEN text_chars = 0 AN
   CASE WHEN text_chars < 200 AND image_count > 0 AND NOT regexp_matches(text, '{D.CAPTION}') THEN 'visual_content_without_caption' END) AS risk_codes FROM p)"""
 
 
-def _profiles(t):
+def _profiles(t, paged=None):
     images = F.when(F.col("page_number") % 7 == 0, 3).when(F.col("page_number") % 2 == 0, 1).otherwise(0)
-    return D.page_profiles(D.pages(t("documents")), images)
+    return D.page_profiles(D.pages(t("documents")) if paged is None else paged, images)
 
 
 @query(f"WITH {PROFILES} SELECT * FROM profiles")

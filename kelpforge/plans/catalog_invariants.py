@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..operators import invariants as I
 from ..operators import review as V
+from ..sources.stored import stored
 from .catalog_documents import PAGES, PROFILES, TRIM, _profiles
 from .registry import query
 
@@ -26,16 +27,17 @@ UNION ALL SELECT 'known_risks', count(*), count(*) FILTER (page_number % 11 = 0)
 UNION ALL SELECT 'packets_well_formed', count(*), count(*) FILTER (doc_id % 30 = 0) FROM doubled
 UNION ALL SELECT 'packets_bounded', count(*), count(*) FILTER (doc_id % 30 = 0) FROM doubled""")
 def invariant_report(t):
-    paged = D.pages(t("documents"))
-    text = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    paged = stored(D.pages(t("documents")), "pages")
+    paged = paged.withColumn("page_number", F.coalesce("page_number", F.lit(0)))  # never null, which what was stored does not tell
+    text = F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r"))
     chunks = paged.select("doc_id", "page_number", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), text.alias("text")).where("text <> ''")
     chunks = chunks.select("*", (F.length("text") + F.when(F.col("doc_id") % 40 == 0, 1).otherwise(0)).alias("char_count"), F.sha2("text", 256).alias("chunk_hash"))
     later = chunks.withColumn("chunk_hash", F.when(F.col("doc_id") % 60 == 0, "other").otherwise(F.col("chunk_hash")))
     far = F.when(F.col("doc_id") % 70 == 0, F.col("page_number") + 100_000).otherwise(F.col("page_number"))
     lines = D.lines(paged).select("doc_id", F.lit("step").alias("kind"), F.when(F.col("doc_id") % 50 == 0, F.concat("line", F.lit("\u0001"))).otherwise(F.col("line")).alias("quote"), far.alias("page_start"), far.alias("page_end"))
-    profiles = _profiles(t)
+    profiles = stored(_profiles(t, paged), "profiles")
     coded = profiles.withColumn("risk_codes", F.when(F.col("page_number") % 11 == 0, F.concat("risk_codes", F.lit(",new_code"))).otherwise(F.col("risk_codes")))
-    packets = V.visual_packets(profiles)
+    packets = stored(V.visual_packets(profiles), "packets")
     packets = packets.union(packets.where("doc_id % 30 = 0"))
     after = paged.withColumn("text", F.when((F.col("doc_id") % 90 == 0) & (F.col("page_number") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     quoted, judged = I.quoted(lines, paged), I.judged_packets(packets)

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from kelpforge import plans
 from kelpforge.functions import text as X
+from kelpforge.operators import documents as D
+from kelpforge.operators import invariants as I
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +50,41 @@ def test_narrow_rows_are_dealt_over_all_cores(spark):
     for name in ("document_metadata", "json_leaves"):
         frame = plans.QUERIES[name](spark, SF)  # of a file that Spark reads in one task
         assert frame.select(F.spark_partition_id().alias("p")).distinct().count() >= cores
+
+
+def test_invariants_read_stored_pages(spark):
+    frame = plans.QUERIES["invariant_report"](spark, SF)
+    assert sources(frame) == 0  # pages, profiles and packets are worked out once
+
+
+def test_pages_that_are_compared_meet_as_hashes(spark):
+    before = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (5, "")], "k long, text string")
+    after = spark.createDataFrame([(1, "a"), (2, "c"), (3, ""), (4, "d"), (5, "")], "k long, text string")
+    frame = I.changed(before, after, ["k"], ["text"])
+    assert sorted(r.k for r in frame.collect() if r.changed) == [2, 3, 4]
+    assert plan_of(frame).count("sha2(") == 2
+
+
+def test_quotes_are_held_against_pages_before_the_next_join(spark):
+    rows = spark.createDataFrame([(1, "a", " two ", 1, 1), (1, "b", "six", 1, 3)], "doc_id long, kind string, quote string, page_start int, page_end int")
+    pages = spark.createDataFrame([(1, 1, "one two"), (1, 2, "three")], "doc_id long, page_number int, text string")
+    frame = I.quoted(rows, pages)
+    assert {(r.kind, r.unquoted, r.misplaced) for r in frame.collect()} == {("a", False, False), ("b", True, True)}
+    over_documents = next(x for x in plan_of(frame).splitlines() if "Project [" in x and "_n#" in x and "_least#" in x)
+    assert "_here#" in over_documents and "_page#" not in over_documents
+
+
+def test_pages_of_odd_texts(spark):
+    texts = [(1, None), (2, ""), (3, "\n"), (4, "\n".join(map(str, range(10)))), (5, "\n".join(map(str, range(21)))), (6, "\n" * 10)]
+    got = {(r.doc_id, r.page_number): r.text for r in D.pages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = {}
+    for k, text in texts:
+        lines = (text or "").split("\n")
+        want |= {(k, p // 10 + 1): "\n".join(lines[p : p + 10]) for p in range(0, len(lines), 10)}
+    assert got == want
+
+
+def test_columns_of_lines(spark):
+    lines = ["a  b  c", "a  b", " a  b  ", "a | b | c", "a|b", "a \t b\t\tc", "  a b c  ", "a  b\t c", "", "  ", "||"]
+    frame = spark.createDataFrame([(x,) for x in lines], "s string").select("s", D.is_table_line(F.col("s")).alias("t"))
+    assert {r.s for r in frame.collect() if r.t} == {"a  b  c", "a | b | c", "a \t b\t\tc", "a  b\t c", "||"}
