@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..sources.committed import Change, Store, complete_classification, complete_extraction, complete_ingest, shared_folder
+from ..sources.stored import stored
 from .registry import query
 
 SMALL, SMALL_STEP = 1600, 1400
@@ -17,7 +18,7 @@ def _filled(t) -> Store:
     """A store after five changes and one that was never published."""
     docs = t("documents").select("doc_id", "text")
     store = Store(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/store-{uuid.uuid4().hex}")
-    reports = D.quality_gate(D.pages(docs)).select(F.col("doc_id").alias("source_id"), "passed", "rejection_reason", "warnings")
+    reports = stored(D.quality_gate(D.pages(docs)).select(F.col("doc_id").alias("source_id"), "passed", "rejection_reason", "warnings"), "reports")
     job = lambda letter, rows: rows.select(F.concat(F.lit(letter), F.col("doc_id").cast("string")).alias("job_key"), F.col("doc_id").alias("source_id"))
 
     def cut(rows, size, step):
@@ -29,14 +30,14 @@ def _filled(t) -> Store:
     complete_ingest(store, job("r", again), reports.limit(0), cut(docs, 9, 9).limit(0))  # all of these jobs are complete
     fifth = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("source_id"))
     store.stage(Change(job("x", docs).limit(0)).replace("chunks", fifth, "source_id", store.read("chunks").limit(0)))  # its writer is lost
-    chunks = store.read("chunks").where("source_id % 2 = 0")
+    chunks = stored(store.read("chunks").where("source_id % 2 = 0"), "chunks")
     key = lambda letter: F.concat(F.lit(letter), F.col("chunk_id"))
     jobs = chunks.select(key("c").alias("job_key"), "source_id", "chunk_id")
     long = F.col("token_estimate") > 300
     decisions = chunks.select("chunk_id", F.when(long, "classified").otherwise("unknown").alias("status"), F.when(long, "prose").alias("classification"))
     unknown = chunks.where(~long).select("chunk_id", F.col("chunk_hash").alias("raw_text"), F.lit("faq_item").alias("suggested_type"), F.lit(0.4).alias("confidence"))
     complete_classification(store, jobs, decisions, unknown, chunks.where(long).select("chunk_id", key("e").alias("job_key")))
-    ready = store.read("jobs").where("kind = 'extraction' AND source_id % 4 = 0").select("job_key", "source_id", F.substring("job_key", 2, 1000).alias("chunk_id"))
+    ready = stored(store.read("jobs").where("kind = 'extraction' AND source_id % 4 = 0").select("job_key", "source_id", F.substring("job_key", 2, 1000).alias("chunk_id")), "ready")
     each = ready.select("job_key", F.explode(F.array(F.lit("fact"), F.lit("rule"))).alias("kind"), F.lit("prose").alias("type"), F.lit("{}").alias("payload"), F.lit(0.9).alias("confidence"))
     spans = ready.select("job_key", F.col("chunk_id").alias("quote"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
     complete_extraction(store, ready, ready.select("job_key", F.lit("extracted").alias("status")), spans, each, ready.limit(0).select("job_key", F.lit("").alias("raw_text")))

@@ -9,6 +9,7 @@ the latest change that speaks of it, and join that to the rows; rows of changes
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 KEYS = "table string, key string, number long, stage string"
 JOBS = "__jobs__"
+Rows = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,17 +34,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 @dataclass
 class Change:
-    """What one commit does: of each table the keys it replaces and the rows they then have."""
+    """What one commit does: of each table the keys it replaces and the rows they then have.
+
+    Tables are written in the order they are named in. Rows may be given as a function of the tables written before, by name, so
+    that what they count or join is read and not worked out again.
+    """
 
     jobs: DataFrame
-    replaces: dict[str, tuple[DataFrame | None, str, DataFrame]] = field(default_factory=dict)
+    replaces: dict[str, tuple[DataFrame | None, str, Rows]] = field(default_factory=dict)
 
-    def replace(self, table: str, keys: DataFrame, key: str, rows: DataFrame) -> Change:
+    def replace(self, table: str, keys: DataFrame, key: str, rows: Rows) -> Change:
         """``keys`` (a column ``key``) lose what rows they had in ``table`` and get those of ``rows``, if any."""
         self.replaces[table] = (keys, key, rows)
         return self
 
-    def append(self, table: str, key: str, rows: DataFrame) -> Change:
+    def append(self, table: str, key: str, rows: Rows) -> Change:
         """The keys of ``rows`` get them; the rows are computed once, and the keys are read from what was written."""
         self.replaces[table] = (None, key, rows)
         return self
@@ -86,10 +92,13 @@ class Store:
         """Writes what the change needs where no reader looks; the name and number to publish it by."""
         number, stage = max(self.numbers(), default=0) + 1, uuid.uuid4().hex
         keys = change.jobs.select(F.lit(JOBS).alias("table"), F.col("job_key").cast("string").alias("key"))
-        for table, (replaced, key, rows) in change.replaces.items():
+        written: dict[str, DataFrame] = {}
+        for table, (replaced, key, made) in change.replaces.items():
             folder = f"{self.root}/data/{table}/store_change={number}/{stage}"
-            rows.withColumn("_key", F.col(key).cast("string")).write.parquet(folder)
-            replaced = self.spark.read.parquet(folder) if replaced is None else replaced
+            rows = (made if isinstance(made, DataFrame) else made(written)).withColumn("_key", F.col(key).cast("string"))
+            rows.write.parquet(folder)
+            written[table] = self.spark.read.schema(rows.schema).parquet(folder)
+            replaced = written[table] if replaced is None else replaced
             keys = keys.union(replaced.select(F.lit(table), F.col(key).cast("string")))
         keys.distinct().select("table", "key", F.lit(number).cast("long").alias("number"), F.lit(stage).alias("stage")).write.parquet(f"{self.root}/staged/{stage}")
         return stage, number
@@ -151,9 +160,12 @@ def complete_ingest(store: Store, jobs: DataFrame, reports: DataFrame, chunks: D
         decision = F.when(passed, "passed").otherwise(F.coalesce("rejection_reason", F.lit("failed")))
         judged = reports.join(sources, "source_id", "left_semi").dropDuplicates(["source_id"]).select("source_id", passed.alias("is_processable"), F.coalesce("warnings", F.lit("")).alias("detected_issues"), decision.alias("decision"))
         cut = chunks.join(sources, "source_id", "left_semi").withColumn("status", F.lit("pending"))
-        counted = cut.groupBy("source_id").agg(F.count("*").alias("chunks_created"))
         states = sources.select("source_id", F.lit("processing").alias("status"))
-        ended = open_.join(counted, "source_id", "left").select("job_key", "source_id", F.lit("ingest").alias("kind"), F.lit("succeeded").alias("status"), F.coalesce("chunks_created", F.lit(0)).alias("records"))
+
+        def ended(written):
+            counted = written["chunks"].groupBy("source_id").agg(F.count("*").alias("chunks_created"))
+            return open_.join(counted, "source_id", "left").select("job_key", "source_id", F.lit("ingest").alias("kind"), F.lit("succeeded").alias("status"), F.coalesce("chunks_created", F.lit(0)).alias("records"))
+
         change = Change(open_).replace("quality_reports", sources, "source_id", judged).replace("chunks", sources, "source_id", cut)
         return store.commit(change.replace("sources", sources, "source_id", states).replace("jobs", open_, "job_key", ended))
     finally:
@@ -173,12 +185,14 @@ def complete_classification(store: Store, jobs: DataFrame, decisions: DataFrame,
         chunk = open_.select("chunk_id").distinct()
         own = lambda rows: rows.join(chunk, "chunk_id", "left_semi")
         known = store.log().where(F.col("table") == "jobs").select(F.col("key").alias("job_key"))
-        asked = own(queued).select(F.col("job_key").cast("string").alias("job_key"), "chunk_id").dropDuplicates(["job_key"]).join(known, "job_key", "left_anti").join(open_.select("chunk_id", "source_id").dropDuplicates(["chunk_id"]), "chunk_id")
+        asked = own(queued).select(F.col("job_key").cast("string").alias("job_key"), "chunk_id").dropDuplicates(["job_key"]).join(known, "job_key", "left_anti").join(open_.select("chunk_id", "source_id").dropDuplicates(["chunk_id"]), "chunk_id").cache()
         made = asked.groupBy("chunk_id").agg(F.count("*").alias("records"))
         row = lambda rows, kind, status, n: rows.select("job_key", "source_id", F.lit(kind).alias("kind"), F.lit(status).alias("status"), n.cast("long").alias("records"))
         ended = row(open_.join(made, "chunk_id", "left"), "classification", "succeeded", F.coalesce("records", F.lit(0))).union(row(asked, "extraction", "queued", F.lit(0)))
         change = Change(open_).replace("chunk_states", chunk, "chunk_id", own(decisions).dropDuplicates(["chunk_id"])).replace("unknown_items", chunk, "chunk_id", own(unknown))
-        return store.commit(change.replace("jobs", ended, "job_key", ended))
+        number = store.commit(change.append("jobs", "job_key", ended))
+        asked.unpersist()
+        return number
     finally:
         open_.unpersist()
 
@@ -197,9 +211,14 @@ def complete_extraction(store: Store, jobs: DataFrame, decisions: DataFrame, evi
         key = open_.select("job_key")
         own = lambda rows: rows.withColumn("job_key", F.col("job_key").cast("string")).join(key, "job_key", "left_semi")
         spans = own(evidence).dropDuplicates(["job_key"]).withColumn("evidence_id", F.sha2(F.concat_ws(":", "job_key", "quote"), 256))
-        found = own(records).join(spans.select("job_key", "evidence_id"), "job_key", "left").withColumn("status", F.lit("extracted"))
-        made = found.groupBy("job_key").agg(F.count("*").alias("records"))
-        ended = open_.join(made, "job_key", "left").select("job_key", "source_id", F.lit("extraction").alias("kind"), F.lit("succeeded").alias("status"), F.coalesce("records", F.lit(0)).alias("records"))
+
+        def found(written):
+            return own(records).join(written["evidence"].select("job_key", "evidence_id"), "job_key", "left").withColumn("status", F.lit("extracted"))
+
+        def ended(written):
+            made = written["records"].groupBy("job_key").agg(F.count("*").alias("records"))
+            return open_.join(made, "job_key", "left").select("job_key", "source_id", F.lit("extraction").alias("kind"), F.lit("succeeded").alias("status"), F.coalesce("records", F.lit(0)).alias("records"))
+
         chunk = open_.select("chunk_id").distinct()
         states = own(decisions).join(open_.select("job_key", "chunk_id"), "job_key").dropDuplicates(["chunk_id"]).select("chunk_id", "status")
         unsaid = store.log().where(F.col("table") == "chunk_states").isEmpty()

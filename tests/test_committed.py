@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from kelpforge.sources import committed as C
 
@@ -59,6 +60,17 @@ def test_a_writer_lost_between_any_two_writes_leaves_the_old_version(spark, stor
     assert ingest(spark, store, "b", [2, 3], "new") == 2 and len(content(store)) == 6
 
 
+def test_chunks_are_worked_out_once(spark, store):
+    calls = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (calls.add(1), x)[1], "string")
+    jobs = spark.createDataFrame([("a1", 1), ("a2", 2)], "job_key string, source_id long")
+    reports = spark.createDataFrame([(1, True, None, "")], "source_id long, passed boolean, rejection_reason string, warnings string")
+    chunks = spark.createDataFrame([(1, k, f"text {k}") for k in range(7)], "source_id long, chunk_index int, content string").withColumn("chunk_id", seen("content"))
+    C.complete_ingest(store, jobs, reports, chunks.where("chunk_id <> ''"))
+    assert {(r.job_key, r.records) for r in store.read("jobs").collect()} == {("a1", 7), ("a2", 0)} and len(content(store)) == 7
+    assert calls.value <= 14  # once in the filter and once in the rows; counting them reads what was written
+
+
 def test_of_two_writers_one_wins(spark, store):
     ingest(spark, store, "a", [1], "old")
     keys = spark.createDataFrame([(1,)], "source_id long")
