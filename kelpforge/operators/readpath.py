@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import kept_together
+
 # Fixed values.
 STRATEGY, MAX_CHUNKS, MAX_TOKENS = "SEMANTIC", 4, 2400
 #: A term of the index has at most so many words.
 TERM_WORDS = 4
+#: An index with more entries is not broadcast.
+SMALL_INDEX = 100_000
+#: Queries that are rewritten in one task.
+REWRITTEN = 65_536
 
 
 def normalized(query: Column) -> Column:
@@ -22,6 +28,13 @@ def with_term(query: Column, user: Column, corpus: Column) -> Column:
     return F.when((user == "") | ~F.contains(query, user), added).otherwise(F.replace(query, user, corpus))
 
 
+def small(index: DataFrame) -> DataFrame:
+    """An index of up to SMALL_INDEX entries goes to all tasks; a longer one meets the queries' runs of words by a shuffle. Spark itself
+    would take the file of the queries for the small side, and does not know that each query becomes many runs."""
+    few = index.limit(SMALL_INDEX + 1).count() <= SMALL_INDEX
+    return F.broadcast(index) if few else index.hint("merge")
+
+
 def matches(queries: DataFrame, index: DataFrame, *, published_only: bool) -> DataFrame:
     """``query_id, score, entity_id, corpus_term, user_term`` for each entry whose user term is a run of words of the query.
 
@@ -29,7 +42,7 @@ def matches(queries: DataFrame, index: DataFrame, *, published_only: bool) -> Da
     or empty terms have no match here. Terms that repeat in a query count once.
     """
     shown = index.where("published") if published_only else index
-    terms = shown.select("score", "entity_id", normalized(F.col("corpus_term")).alias("corpus_term"), normalized(F.col("user_term")).alias("user_term")).where("user_term <> ''")
+    terms = small(shown).select("score", "entity_id", normalized(F.col("corpus_term")).alias("corpus_term"), normalized(F.col("user_term")).alias("user_term")).where("user_term <> ''")
     words = F.split(normalized(F.col("query")), " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda at: F.transform(F.sequence(F.lit(1), F.lit(TERM_WORDS)), lambda n: F.array_join(F.slice("_w", at, n), " "))))
     asked = queries.select("query_id", words.alias("_w")).select("query_id", F.explode(F.array_distinct(runs)).alias("user_term"))
@@ -41,8 +54,9 @@ def transformed(queries: DataFrame, index: DataFrame, *, corpus_id: str, version
 
     Matches are applied one after another in the order of falling score, then entity, corpus term and user term. Alternatives
     stand only where the recall is below ``low_recall``; a null recall asks for none. Null queries are empty ones. A query
-    gathers only the matches of its own words.
+    gathers only the matches of its own words, in the task it was dealt to.
     """
+    queries = kept_together(queries, "query_id", REWRITTEN)
     order = F.struct((-F.col("score")).alias("less"), "entity_id", "corpus_term", "user_term")
     ordered = matches(queries, index, published_only=published_only).groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("_found"))
     base = queries.withColumn("rewritten", normalized(F.coalesce("query", F.lit("")))).join(ordered, "query_id", "left")

@@ -6,6 +6,7 @@ from kelpforge import plans
 from kelpforge.functions import text as X
 from kelpforge.operators import documents as D
 from kelpforge.operators import invariants as I
+from kelpforge.operators import readpath as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,21 @@ def test_columns_of_lines(spark):
     lines = ["a  b  c", "a  b", " a  b  ", "a | b | c", "a|b", "a \t b\t\tc", "  a b c  ", "a  b\t c", "", "  ", "||"]
     frame = spark.createDataFrame([(x,) for x in lines], "s string").select("s", D.is_table_line(F.col("s")).alias("t"))
     assert {r.s for r in frame.collect() if r.t} == {"a  b  c", "a | b | c", "a \t b\t\tc", "a  b\t c", "||"}
+
+
+INDEX = [(0.9, "e1", "Hex Bolt", "bolt", True), (0.9, "e0", "screw", "bolt", True), (0.5, "e2", "thing", "red bolt", False), (0.1, "e3", "x", "", True)]
+
+
+def test_rewriting_with_a_short_and_a_long_index(spark, monkeypatch):
+    index = spark.createDataFrame(INDEX, "score double, entity_id string, corpus_term string, user_term string, published boolean")
+    queries = spark.createDataFrame([(k, "a Red  bolt" if k % 2 else None, 0.1) for k in range(40)], "query_id long, query string, recall double")
+    made = lambda: P.transformed(queries, index, corpus_id="c", version="v", published_only=False)
+    monkeypatch.setattr(P, "REWRITTEN", 4)
+    short = made()
+    assert "strategy=broadcast" in plan_of(short) and short.rdd.getNumPartitions() >= 10
+    want = sorted(short.collect())
+    assert {(r.rewritten, r.grounded) for r in want} == {("", ""), ("a red bolt", "a red screw hex bolt thing")} and len(want) == 40
+    monkeypatch.setattr(P, "SMALL_INDEX", 3)
+    long = made()
+    assert "strategy=merge" in plan_of(long) and "strategy=broadcast" not in plan_of(long)
+    assert sorted(long.collect()) == want
