@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.stored import kept_together
+
+#: Records that meet the questions in one task.
+MATCHED = 4096
 
 
 def matches(questions: DataFrame, records: DataFrame) -> DataFrame:
     """``question_id, record_id, lexical``: how many distinct terms a question and a record share.
 
-    Terms meet by an equality join, questions being the small side, and are summed before the shuffle on the pair; no
-    question is held against a record that shares no term.
+    Terms meet by an equality join, questions being the small side; no question is held against a record that shares no term.
+    Records are dealt by id before they meet questions, MATCHED at a time, so that their pairs are summed in the task that finds
+    them: pairs are not shuffled, and no task has more of them than MATCHED records give.
     """
     asked = questions.select("question_id", F.explode(X.terms(F.col("question"))).alias("term"))
-    held = records.select("record_id", F.explode(X.terms(F.col("text"))).alias("term"))
+    held = kept_together(records, "record_id", MATCHED).select("record_id", F.explode(X.terms(F.col("text"))).alias("term"))
     return held.join(asked, "term").groupBy("question_id", "record_id").agg(F.count("*").alias("lexical"))
 
 

@@ -7,6 +7,7 @@ from kelpforge.functions import text as X
 from kelpforge.operators import documents as D
 from kelpforge.operators import invariants as I
 from kelpforge.operators import readpath as P
+from kelpforge.operators import retrieval as Q
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +92,17 @@ def test_columns_of_lines(spark):
     assert {r.s for r in frame.collect() if r.t} == {"a  b  c", "a | b | c", "a \t b\t\tc", "a  b\t c", "||"}
 
 
+def test_records_meet_questions_some_at_a_time(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(Q, "MATCHED", 5)
+    records = spark.createDataFrame([(k, f"alpha beta{k % 3} word{k} alpha") for k in range(100)] + [(100, ""), (101, "zz")], "record_id long, text string")
+    questions = spark.createDataFrame([(1, "alpha beta1"), (2, "word7 Word7"), (3, "")], "question_id long, question string")
+    questions.write.parquet(str(tmp_path / "questions"))  # a small side whose size is known
+    frame = Q.matches(spark.read.parquet(str(tmp_path / "questions")), records)
+    got = {(r.question_id, r.record_id): r.lexical for r in frame.collect()}
+    assert got == {(1, k): 1 + (k % 3 == 1) for k in range(100)} | {(2, 7): 1}
+    assert frame.rdd.getNumPartitions() >= 21  # before, as many as there are shuffle partitions, however many records
+
+
 INDEX = [(0.9, "e1", "Hex Bolt", "bolt", True), (0.9, "e0", "screw", "bolt", True), (0.5, "e2", "thing", "red bolt", False), (0.1, "e3", "x", "", True)]
 
 
