@@ -190,9 +190,10 @@ def complete_classification(store: Store, jobs: DataFrame, decisions: DataFrame,
         row = lambda rows, kind, status, n: rows.select("job_key", "source_id", F.lit(kind).alias("kind"), F.lit(status).alias("status"), n.cast("long").alias("records"))
         ended = row(open_.join(made, "chunk_id", "left"), "classification", "succeeded", F.coalesce("records", F.lit(0))).union(row(asked, "extraction", "queued", F.lit(0)))
         change = Change(open_).replace("chunk_states", chunk, "chunk_id", own(decisions).dropDuplicates(["chunk_id"])).replace("unknown_items", chunk, "chunk_id", own(unknown))
-        number = store.commit(change.append("jobs", "job_key", ended))
-        asked.unpersist()
-        return number
+        try:
+            return store.commit(change.append("jobs", "job_key", ended))
+        finally:
+            asked.unpersist()
     finally:
         open_.unpersist()
 
